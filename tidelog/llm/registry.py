@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from . import mixing
+from . import line_quality, mixing
 
 
 def queries() -> dict:
-    return {"op5_source_mixing": mixing.op5}
+    return {"op5_source_mixing": mixing.op5, "op7_line_first_quality": line_quality.op7}
 
 
 def oracle_sql() -> dict:
