@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from . import line_quality, mixing
+from . import exact_dedup, line_quality, mixing, secret_index
 
 
 def queries() -> dict:
-    return {"op5_source_mixing": mixing.op5, "op7_line_first_quality": line_quality.op7}
+    return {"op5_source_mixing": mixing.op5, "op7_line_first_quality": line_quality.op7, "op8_extendible_dedup": exact_dedup.op8, "op9_trigram_secrets": secret_index.op9}
 
 
 def oracle_sql() -> dict:
-    return {}
+    return {"op8_extendible_dedup": exact_dedup.ORACLE_OP8, "op9_trigram_secrets": secret_index.ORACLE_OP9}
