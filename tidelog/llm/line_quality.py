@@ -33,9 +33,9 @@ class Rules:
     max_loss: float = 0.5  # share of word characters that removed lines may hold
     min_left_words: int = 10
     max_symbol_share: float = 0.05  # of word characters, per line
-    #: a line of that many words or more needs a mark that ends a sentence
+    #: a line of that many words or more needs a mark that ends a sentence, within its last 64 characters
     unpunctuated_words: int = 12
-    navigation_marks: str = r"[|»›•>]"
+    navigation_marks: str = "|»›•>"
     min_navigation_marks: int = 3
     boilerplate: str = (
         r"(?i)\b(?:all rights reserved|terms of (?:use|service)|privacy policy|cookie policy|use of cookies|we use cookies"
@@ -51,16 +51,20 @@ def letters(column: Column) -> Column:
 
 
 def count_of(column: Column, characters: str) -> Column:
-    return (F.length(column) - F.length(F.translate(column, characters, ""))).cast("long")
+    kept = "".join("\\" + c for c in characters)
+    return F.length(F.regexp_replace(column, f"[^{kept}]+", "")).cast("long")
 
 
 def line_fails(line: Column, rules: Rules) -> Column:
     """True for a line that a rule removes; lines without a word never fail."""
-    words = F.regexp_count(line, F.lit(WORD))
-    navigation = F.regexp_count(line, F.lit(rules.navigation_marks)) >= rules.min_navigation_marks
+    escaped = lambda characters: "".join("\\" + c for c in dict.fromkeys(characters))
+    marked = line.rlike(f"[{escaped(SYMBOLS + rules.navigation_marks)}]")  # few lines need the next two
     symbols = count_of(line, SYMBOLS) > F.lit(rules.max_symbol_share) * letters(line)
-    unended = (words >= rules.unpunctuated_words) & ~line.rlike(rules.sentence_end)
-    return (words > 0) & (symbols | navigation | unended | line.rlike(rules.boilerplate))
+    marks = escaped(rules.navigation_marks)
+    navigation = line.rlike(f"^(?:[^{marks}]*+[{marks}]){{{rules.min_navigation_marks}}}")
+    long = line.rlike(r"^(?:[\x20\x09-\x0D]*+[^\x20\x09-\x0D]++){%d}" % rules.unpunctuated_words)
+    unended = ~F.substring(line, -64, 64).rlike(rules.sentence_end) & long
+    return ((marked & (symbols | navigation)) | unended | line.rlike(rules.boilerplate)) & line.rlike(WORD)
 
 
 def covered_words(starts: Column, width: int) -> Column:
@@ -72,15 +76,18 @@ def covered_words(starts: Column, width: int) -> Column:
 
 def clean(docs: DataFrame, text: str = "text", rules: Rules = Rules()) -> DataFrame:
     """docs with one more struct column, free_name(docs, "quality"): counts, base_failed, kept, clean_text, removed_lines, loss."""
-    n = {k: free_name(docs, f"_q_{k}") for k in ("t", "words", "hash", "wins", "starts", "lines", "left")}
+    n = {k: free_name(docs, f"_q_{k}") for k in ("t", "words", "hash", "wins", "starts", "lines", "left", "clean")}
     col = F.col
     df = docs.withColumn(n["t"], text_of(text))
     df = df.withColumn(n["words"], F.regexp_extract_all(col(n["t"]), F.lit(WORD), F.lit(0)))
     df = df.withColumn(n["hash"], F.transform(n["words"], lambda w: F.xxhash64(w)))
     span = F.when(F.size(n["words"]) >= WINDOW, F.sequence(F.lit(1), F.size(n["words"]) - (WINDOW - 1))).otherwise(F.array().cast("array<int>"))
-    df = df.withColumn(n["wins"], F.transform(span, lambda i: F.xxhash64(F.slice(col(n["hash"]), i, WINDOW))))
+    # hashes of five words; the last four are of fewer words and so differ. The array is named more than once, so that the
+    # optimizer doesn't put the expression that makes it into the lambda
+    hashes = col(n["hash"])
+    df = df.withColumn(n["wins"], F.transform(hashes, lambda h, i: F.xxhash64(h, *[F.get(hashes, i + k) for k in range(1, WINDOW)])))
     # the exact form, for rows that have two equal hashes: windows as arrays of words, sorted with their starts
-    pairs = F.array_sort(F.transform(span, lambda i: F.struct(F.slice(col(n["words"]), i, WINDOW).alias("w"), i.alias("i"))))
+    pairs = F.sort_array(F.transform(span, lambda i: F.struct(F.slice(col(n["words"]), i, WINDOW).alias("w"), i.alias("i"))))
     sorted_name = free_name(docs, "_q_sorted")
     repeats = F.size(F.array_distinct(n["wins"])) < F.size(n["wins"])
     df = df.withColumn(sorted_name, F.when(repeats, pairs))
@@ -97,10 +104,12 @@ def clean(docs: DataFrame, text: str = "text", rules: Rules = Rules()) -> DataFr
         ),
         lambda x: x["i"],
     )
-    df = df.withColumn(n["starts"], F.when(repeats, F.array_sort(twice)).otherwise(F.array().cast("array<int>")))
+    df = df.withColumn(n["starts"], F.when(repeats, F.sort_array(twice)).otherwise(F.array().cast("array<int>")))
     df = df.withColumn(n["lines"], F.split(n["t"], "\n", -1))
     df = df.withColumn(n["left"], F.filter(n["lines"], lambda x: ~line_fails(x, rules)))
-    cleaned = F.array_join(n["left"], "\n")
+    untouched = F.size(n["lines"]) == F.size(n["left"])
+    df = df.withColumn(n["clean"], F.when(untouched, col(n["t"])).otherwise(F.array_join(n["left"], "\n")))
+    cleaned = col(n["clean"])
     with_word = F.filter(n["lines"], lambda x: x.rlike(WORD))
     facts = F.struct(
         F.size(n["words"]).cast("long").alias("n_words"),
@@ -109,8 +118,8 @@ def clean(docs: DataFrame, text: str = "text", rules: Rules = Rules()) -> DataFr
         (F.size(with_word) - F.size(F.array_distinct(with_word))).cast("long").alias("n_dup_lines"),
         covered_words(col(n["starts"]), WINDOW).alias("n_repeat_words"),
         cleaned.alias("clean_text"),
-        letters(cleaned).alias("left_chars"),
-        F.regexp_count(cleaned, F.lit(WORD)).cast("long").alias("left_words"),
+        F.when(untouched, letters(col(n["t"]))).otherwise(letters(cleaned)).alias("left_chars"),
+        F.when(untouched, F.size(n["words"])).otherwise(F.regexp_count(cleaned, F.lit(WORD))).cast("long").alias("left_words"),
         (F.size(n["lines"]) - F.size(n["left"])).cast("long").alias("removed_lines"),
     )
     out = free_name(docs, "_q_facts")

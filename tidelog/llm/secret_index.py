@@ -189,7 +189,7 @@ def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text") -
     for i, (rule, query) in enumerate(zip(rules, queries)):
         may = body.rlike(rule.pattern) if query is True else F.coalesce(F.col("hits").bitwiseAND(F.lit(1 << i)) != 0, F.lit(False))
         found.append(F.when(may, spans_of(body, rule, i)).otherwise(none))
-    return df.withColumn("secrets", F.array_sort(F.concat(*found))).drop("secret_key", "hits")
+    return df.withColumn("secrets", F.sort_array(F.concat(*found))).drop("secret_key", "hits")
 
 
 def written(spans: Column, rules: tuple[Rule, ...] = RULES) -> Column:
