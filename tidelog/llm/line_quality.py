@@ -74,57 +74,60 @@ def covered_words(starts: Column, width: int) -> Column:
     return F.when(F.size(starts) > 0, total + F.lit(width)).otherwise(F.lit(0)).cast("long")
 
 
+def let(value: Column, body) -> Column:
+    """body(value) with value computed once and no projection of its own, which would copy the whole row."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
+def repeated_words(words: Column) -> Column:
+    """Words within windows of five that the text has twice or more."""
+
+    def exact() -> Column:
+        """Windows as arrays of words, sorted with their starts; those equal to a neighbour are repeated."""
+        starts = F.sequence(F.lit(1), F.size(words) - (WINDOW - 1))
+        pairs = F.sort_array(F.transform(starts, lambda i: F.struct(F.slice(words, i, WINDOW).alias("w"), i.alias("i"))))
+        same = lambda body, k, x: F.coalesce(F.get(body, k)["w"] == x["w"], F.lit(False))
+        marked = lambda body: F.transform(body, lambda x, k: F.when(same(body, k - 1, x) | same(body, k + 1, x), x["i"]))
+        return let(let(pairs, lambda body: F.sort_array(F.array_compact(marked(body)))), lambda at: covered_words(at, WINDOW))
+
+    # hashes of five words; the last four are of fewer words and so differ
+    windows = lambda h: F.transform(h, lambda x, i: F.xxhash64(x, *[F.get(h, i + k) for k in range(1, WINDOW)]))
+    some = lambda wins: (F.size(F.array_distinct(wins)) < F.size(wins)) & (F.size(words) >= WINDOW)
+    hashes = F.transform(words, lambda w: F.xxhash64(w))
+    return let(let(hashes, windows), lambda wins: F.when(some(wins), exact()).otherwise(F.lit(0)).cast("long"))
+
+
+def line_facts(text: Column, rules: Rules) -> Column:
+    """What the line rules leave of the text."""
+
+    def facts(lines: Column, left: Column) -> Column:
+        untouched = F.size(lines) == F.size(left)
+        cleaned = F.when(untouched, text).otherwise(F.array_join(left, "\n"))
+        with_word = let(F.filter(lines, lambda x: x.rlike(WORD)), lambda x: F.size(x) - F.size(F.array_distinct(x)))
+        return F.struct(with_word.cast("long").alias("n_dup_lines"), cleaned.alias("clean_text"), (F.size(lines) - F.size(left)).cast("long").alias("removed_lines"))
+
+    return let(F.split(text, "\n", -1), lambda lines: let(F.filter(lines, lambda x: ~line_fails(x, rules)), lambda left: facts(lines, left)))
+
+
 def clean(docs: DataFrame, text: str = "text", rules: Rules = Rules()) -> DataFrame:
     """docs with one more struct column, free_name(docs, "quality"): counts, base_failed, kept, clean_text, removed_lines, loss."""
-    n = {k: free_name(docs, f"_q_{k}") for k in ("t", "words", "hash", "wins", "starts", "lines", "left", "clean")}
-    col = F.col
-    df = docs.withColumn(n["t"], text_of(text))
-    df = df.withColumn(n["words"], F.regexp_extract_all(col(n["t"]), F.lit(WORD), F.lit(0)))
-    df = df.withColumn(n["hash"], F.transform(n["words"], lambda w: F.xxhash64(w)))
-    span = F.when(F.size(n["words"]) >= WINDOW, F.sequence(F.lit(1), F.size(n["words"]) - (WINDOW - 1))).otherwise(F.array().cast("array<int>"))
-    # hashes of five words; the last four are of fewer words and so differ. The array is named more than once, so that the
-    # optimizer doesn't put the expression that makes it into the lambda
-    hashes = col(n["hash"])
-    df = df.withColumn(n["wins"], F.transform(hashes, lambda h, i: F.xxhash64(h, *[F.get(hashes, i + k) for k in range(1, WINDOW)])))
-    # the exact form, for rows that have two equal hashes: windows as arrays of words, sorted with their starts
-    pairs = F.sort_array(F.transform(span, lambda i: F.struct(F.slice(col(n["words"]), i, WINDOW).alias("w"), i.alias("i"))))
-    sorted_name = free_name(docs, "_q_sorted")
-    repeats = F.size(F.array_distinct(n["wins"])) < F.size(n["wins"])
-    df = df.withColumn(sorted_name, F.when(repeats, pairs))
-    body = col(sorted_name)
-    twice = F.transform(
-        F.filter(
-            F.transform(body, lambda x, k: F.struct(
-                x["i"].alias("i"),
-                (
-                    ((k > 0) & (F.get(body, k - 1)["w"] == x["w"])) | ((k < F.size(body) - 1) & (F.get(body, k + 1)["w"] == x["w"]))
-                ).alias("again"),
-            )),
-            lambda x: x["again"],
-        ),
-        lambda x: x["i"],
+    raw, out = free_name(docs, "_q_raw"), free_name(docs, "_q_facts")
+    body = text_of(text)
+    counts = let(
+        F.regexp_extract_all(body, F.lit(WORD), F.lit(0)),
+        lambda words: F.struct(F.size(words).cast("long").alias("n_words"), repeated_words(words).alias("n_repeat_words")),
     )
-    df = df.withColumn(n["starts"], F.when(repeats, F.sort_array(twice)).otherwise(F.array().cast("array<int>")))
-    df = df.withColumn(n["lines"], F.split(n["t"], "\n", -1))
-    df = df.withColumn(n["left"], F.filter(n["lines"], lambda x: ~line_fails(x, rules)))
-    untouched = F.size(n["lines"]) == F.size(n["left"])
-    df = df.withColumn(n["clean"], F.when(untouched, col(n["t"])).otherwise(F.array_join(n["left"], "\n")))
-    cleaned = col(n["clean"])
-    with_word = F.filter(n["lines"], lambda x: x.rlike(WORD))
-    facts = F.struct(
-        F.size(n["words"]).cast("long").alias("n_words"),
-        letters(col(n["t"])).alias("word_chars"),
-        count_of(col(n["t"]), SYMBOLS).alias("n_symbols"),
-        (F.size(with_word) - F.size(F.array_distinct(with_word))).cast("long").alias("n_dup_lines"),
-        covered_words(col(n["starts"]), WINDOW).alias("n_repeat_words"),
-        cleaned.alias("clean_text"),
-        F.when(untouched, letters(col(n["t"]))).otherwise(letters(cleaned)).alias("left_chars"),
-        F.when(untouched, F.size(n["words"])).otherwise(F.regexp_count(cleaned, F.lit(WORD))).cast("long").alias("left_words"),
-        (F.size(n["lines"]) - F.size(n["left"])).cast("long").alias("removed_lines"),
+    r, f = F.col(raw), F.col(out)
+    untouched = r["lines"]["removed_lines"] == 0
+    n_letters = letters(body)
+    whole = F.struct(
+        r["counts"]["n_words"].alias("n_words"), n_letters.alias("word_chars"), count_of(body, SYMBOLS).alias("n_symbols"),
+        r["lines"]["n_dup_lines"].alias("n_dup_lines"), r["counts"]["n_repeat_words"].alias("n_repeat_words"), r["lines"]["clean_text"].alias("clean_text"),
+        F.when(untouched, n_letters).otherwise(letters(r["lines"]["clean_text"])).alias("left_chars"),
+        F.when(untouched, r["counts"]["n_words"]).otherwise(F.regexp_count(r["lines"]["clean_text"], F.lit(WORD)).cast("long")).alias("left_words"),
+        r["lines"]["removed_lines"].alias("removed_lines"),
     )
-    out = free_name(docs, "_q_facts")
-    df = df.withColumn(out, facts).drop(*n.values(), sorted_name)
-    f = col(out)
+    df = docs.withColumn(raw, F.struct(counts.alias("counts"), line_facts(body, rules).alias("lines"))).withColumn(out, whole).drop(raw)
     base = (f["n_words"] < rules.min_words) | (100 * f["n_repeat_words"] > rules.max_repeat_percent * f["n_words"])
     loss = F.when(f["word_chars"] > 0, 1 - f["left_chars"] / f["word_chars"]).otherwise(F.lit(0.0))
     kept = ~base & (loss <= rules.max_loss) & (f["left_words"] >= rules.min_left_words)
