@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, line_quality, mixing, packing, secret_index, simhash, warc
+from . import exact_dedup, line_quality, mixing, packing, secret_index, simhash, suffix_dedup, warc
 
 
 def queries() -> dict:
-    return {"op1_warc_salvage": warc.op1, "op2_vector_best_fit": packing.op2, "op4_ball_simhash": simhash.op4, "op5_source_mixing": mixing.op5, "op7_line_first_quality": line_quality.op7, "op8_extendible_dedup": exact_dedup.op8, "op9_trigram_secrets": secret_index.op9}
+    return {"op1_warc_salvage": warc.op1, "op2_vector_best_fit": packing.op2, "op4_ball_simhash": simhash.op4, "op5_source_mixing": mixing.op5, "op7_line_first_quality": line_quality.op7, "op8_extendible_dedup": exact_dedup.op8, "op9_trigram_secrets": secret_index.op9, "op10_suffix_levels": suffix_dedup.op10}
 
 
 def oracle_sql() -> dict:
