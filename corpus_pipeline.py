@@ -1,10 +1,30 @@
-"""The corpus pipeline: STAGES in order, each written as Parquet and read again as the next one's documents."""
+"""The corpus pipeline: quality rules, exact dedup, near-dedup, mixing, packing.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and read again as the
+next stage's docs. All but the last return the columns of documents.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+from pyspark.sql import DataFrame, SparkSession
+
+from tidelog.llm import common, exact_dedup, line_quality, mixing, packing, simhash
+
+STAGES = [
+    ("quality rules", line_quality.stage),
+    ("exact dedup", exact_dedup.stage),
+    ("near dedup", simhash.stage),
+    ("mixing", mixing.stage),
+    ("packing", packing.stage),
+]
+
+#: SQL can't express the fingerprints, the hash-random order and the tokens; tests compare with brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over documents."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES:
+        docs = common.staged(stage(spark, docs, sf_dir), f"stage-{name.replace(' ', '-')}")
+    return docs

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import WORD, join_checked, staged, text_of
+from .common import WORD, free_name, join_checked, staged, text_of
 
 WEIGHTS = (5.0, 2.0, 1.0)
 MOST_EPOCHS = 3
@@ -59,7 +59,7 @@ def targets(sizes: DataFrame, weights=WEIGHTS, share: float = 1.0, most_epochs:
 
 def mix(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", source: str = "source", size: Column | None = None,
         weights=WEIGHTS, share: float = 1.0, most_epochs: int = MOST_EPOCHS, seed: int = 7) -> DataFrame:
-    """One row per document: doc_id, size, source, source_size, target, taken (words, repeats counted), epochs.
+    """One row per document: doc_id, size, source, source_size, target, taken (words, repeats counted), epochs, tie (a hash of the text).
 
     Of a document at the cut the mix takes as many words as the budget still has.
     """
@@ -100,10 +100,33 @@ def mix(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", source:
     return rows.select(
         "doc_id", "size", "source", "source_size", "target",
         (F.col("epochs") * F.col("size") + part).cast("long").alias("taken"),
-        (F.col("epochs") + (part > 0).cast("long")).alias("epochs"),
+        (F.col("epochs") + (part > 0).cast("long")).alias("epochs"), "tie",
     )
 
 
 def op5(spark, sf_dir: str) -> DataFrame:
     """The contract query over all documents."""
     return mix(spark.read.parquet(f"{sf_dir}/documents.parquet")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pipeline stage: every row as often as the mix takes it whole, and the words that it takes of a row at a cut.
+
+    Rows without a word have nothing to take and go.
+    """
+    key, tie = free_name(docs, "_id"), free_name(docs, "_tie")
+    plan = mix(docs).where("taken > 0").groupBy("doc_id", "tie").agg(F.min(F.struct("size", "taken")).alias("plan"), F.max("taken").alias("most"))
+    size, taken = free_name(docs, "_size"), free_name(docs, "_taken")
+    plan = staged(
+        plan.select(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias(key), F.col("tie").alias(tie), F.col("plan.size").alias(size), F.col("most").alias(taken)), "mix-plan"
+    )
+    rows = docs.withColumn(key, F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).withColumn(tie, F.xxhash64(text_of()))
+    rows = join_checked(rows, plan, [key, tie], "inner")
+    rest = (F.col(taken) % F.col(size)).cast("int")
+    words = F.regexp_extract_all("text", F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0))
+    part = F.when(rest > 0, F.array(F.array_join(F.slice(words, F.lit(1), rest), ""))).otherwise(F.array().cast("array<string>"))
+    whole = F.array_repeat("text", F.expr(f"cast({taken} div {size} as int)"))
+    rows = rows.withColumn("text", F.explode(F.concat(whole, part)))
+    if "n_chars" in docs.columns:
+        rows = rows.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return rows.select(*docs.columns)
