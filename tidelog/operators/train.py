@@ -348,12 +348,12 @@ def map_blocks(rows: DataFrame, fn: Callable[[pa.Table], pa.Table], schema: str,
 
 
 def metric_windows(steps: DataFrame) -> DataFrame:
-    """steps (step, value or null, report): for each report window the last value, the mean over all its steps, their number."""
+    """steps (run, step, value or null, report): for each report window the last value, the mean over all its steps, their number."""
     from pyspark.sql import Window as W
 
-    before = W.orderBy("step").rowsBetween(W.unboundedPreceding, -1)
+    before = W.partitionBy("run").orderBy("step").rowsBetween(W.unboundedPreceding, -1)
     rows = steps.withColumn("window", F.coalesce(F.sum(F.col("report").cast("long")).over(before), F.lit(0)).cast("long"))
-    return rows.groupBy("window").agg(
+    return rows.groupBy("run", "window").agg(
         F.max_by("value", F.when(F.col("value").isNotNull(), F.col("step"))).alias("last_value"), (F.sum("value") / F.count("*")).alias("value_mean"), F.count("*").alias("steps_in_report")
     )
 

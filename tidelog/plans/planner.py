@@ -51,7 +51,7 @@ def replayed_positions(cursor: int, world_size: int, n: int) -> int:
 
 def pass_order(blocks: DataFrame, seed: int, passes: int = 1) -> DataFrame:
     """Every pass's permutation of the corpus: blocks with ``pass`` and ``i``."""
-    every = blocks.withColumn("pass", F.explode(F.sequence(F.lit(0), F.lit(passes - 1))).cast("long"))
+    every = blocks.withColumn("pass", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(passes - 1).cast("long"))))
     return digest_rank(every, ["pass"], digest_key(seed, F.col("pass"), F.col("block_id")), ["block_id"], "i")
 
 
@@ -144,7 +144,7 @@ def first_refs(manifest_rows: DataFrame) -> DataFrame:
 def segment_anchors(items: DataFrame, item: str, per_segment: int, segments: int, seed: int, n_items: int) -> DataFrame:
     """Consecutive slices of per-pass permutations of the items: (seq, i, pass, item), wrapping across passes."""
     passes = (segments * per_segment - 1) // n_items + 1
-    every = items.select(F.col(item).alias("item")).withColumn("pass", F.explode(F.sequence(F.lit(0), F.lit(passes - 1))).cast("long"))
+    every = items.select(F.col(item).alias("item")).withColumn("pass", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(passes - 1).cast("long"))))
     ranked = digest_rank(every, ["pass"], digest_key(seed, F.col("pass"), F.col("item")), ["item"], "offset")
     at = F.col("pass") * n_items + F.col("offset")
     rows = ranked.withColumn("seq", div(at, per_segment)).withColumn("i", at % per_segment).where(F.col("seq") < segments)

@@ -131,16 +131,16 @@ def build_policy(kind: str = "any", every_k: int | None = 4, time_budget_s: floa
 
 
 def decisions(steps: DataFrame, make: Callable[[], Policy], run: str = "run") -> DataFrame:
-    """steps (run, at, step, steps, pass_ends, elapsed) with ``fires``.
+    """steps (run, place, step, steps, pass_ends, elapsed) with ``fires``.
 
-    A policy with a Column stays in the plan; else each run is folded in the order of ``at``, a run a group.
+    A policy with a Column stays in the plan; else each run is folded in the order of ``place``, a run a group.
     """
     predicate = make().column()
     if predicate is not None:
         return steps.withColumn("fires", predicate)
 
     def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        policy, rows, fires = make(), rows.sort_values("at"), []
+        policy, rows, fires = make(), rows.sort_values("place"), []
         for r in rows.itertuples():
             s = Step(int(r.step), int(r.steps), bool(r.pass_ends), float(r.elapsed))
             fires.append(policy.decide(s))

@@ -38,5 +38,5 @@ def exact_passes(blocks: DataFrame, seed: int, passes: int) -> DataFrame:
         order = exact_order(sorted(rows["block_id"]), seed, number)
         return pd.DataFrame({"pass": number, "i": range(len(order)), "block_id": order})
 
-    every = blocks.select("block_id").withColumn("pass", F.explode(F.sequence(F.lit(0), F.lit(passes - 1))).cast("long"))
+    every = blocks.select("block_id").withColumn("pass", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(passes - 1).cast("long"))))
     return every.groupBy("pass").applyInPandas(one, "pass long, i long, block_id string")
