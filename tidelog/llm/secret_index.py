@@ -36,8 +36,13 @@ class Rule:
     base: bool = False
 
 
+def _either_case(word: str) -> str:
+    """A word in ASCII letters of either case; engines differ in what else an ignore-case flag lets in."""
+    return "".join(f"[{c.upper()}{c}]" if c.isalpha() else c for c in word)
+
+
 RULES = (
-    Rule("assign", r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 1, 12, True),
+    Rule("assign", f"(?:{'|'.join(map(_either_case, ('password', 'passwd', 'secret', 'token', 'api_?key')))})" + r"""["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 1, 12, True),
     Rule("access", r"AKIA[A-Z0-9]+", 0, 18, True),
     Rule("hex", r"[0-9a-f]{16,}", 0, 16, True),  # the same spans as runs of any length, filtered
     Rule("github", r"gh[opsur]_[A-Za-z0-9]{36,}"),
