@@ -1,7 +1,7 @@
 """Python data source ``tidelog``: a log's manifest as a batch table, a stream of segments, and a sink of segments.
 
-Stream offsets are segment numbers. A batch holds at most ``segmentsPerBatch`` segments in order, or all committed ones
-if that isn't set, as a bounded catch-up wants.
+Stream offsets are segment numbers, each the first that has not been read. A batch holds at most ``segmentsPerBatch`` segments in order, or all committed ones
+if that isn't set, as a bounded catch-up, and a restart from a checkpoint, want.
 """
 
 from __future__ import annotations
@@ -39,8 +39,8 @@ class ManifestReader(DataSourceReader):
 
     def pushFilters(self, filters):
         for f in filters:
-            if f.attribute == ("seq",) if hasattr(f, "attribute") else False:
-                v = f.value
+            v = getattr(f, "value", None)
+            if getattr(f, "attribute", None) == ("seq",) and isinstance(v, int):
                 if isinstance(f, (GreaterThan, GreaterThanOrEqual, EqualTo)):
                     low = v + 1 if isinstance(f, GreaterThan) else v
                     self.low = low if self.low is None else max(self.low, low)
@@ -59,17 +59,16 @@ class ManifestReader(DataSourceReader):
 
 class ManifestStream(DataSourceStreamReader):
     def __init__(self, path: str, per_batch: int | None, start: int | None):
-        self.log, self.path, self.per_batch, self.start = BlockLog.open(Store.at(path)), path, per_batch, start
-        self.at = None
+        self.path, self.per_batch, self.start, self.at = path, per_batch, start, None
 
     def initialOffset(self):
-        first = self.start if self.start is not None else (self.log.first_seq() or 0)
-        return {"seq": first}
+        """The first segment asked for that the log still has."""
+        return {"seq": max(self.start or 0, BlockLog.open(Store.at(self.path)).first_seq() or 0)}
 
     def latestOffset(self):
         if self.at is None:
             self.at = self.initialOffset()["seq"]
-        seqs, end = set(self.log.seqs()), self.at
+        seqs, end = set(BlockLog.open(Store.at(self.path)).seqs()), self.at
         while end in seqs and (self.per_batch is None or end < self.at + self.per_batch):
             end += 1  # up to the first gap
         self.at = end

@@ -27,23 +27,27 @@ def segment_stream(spark: SparkSession, log: BlockLog, start: int | None = None,
 def consume(spark: SparkSession, log: BlockLog, n: int, on_segment: Callable[[DataFrame, int], None], *, checkpoint: str, start: int = 0, hooks=(), context=None, retention: int | None = None, available_now: bool = True):
     """Deal each segment to n ranks and hand it to on_segment(rows, seq), in order and at least once.
 
-    After a segment: hooks, then retention behind it. Segments that a hook appends are read by the next trigger; the
-    caller runs this again until the log has ended (``drain`` does).
+    Hooks run after each segment. Retention runs when the next trigger begins, behind segments whose offsets are committed, so
+    a trigger that is tried again finds all of its segments. Segments that a hook appends are read by the next trigger;
+    ``drain`` runs this again until the log has ended.
     """
 
     def batch(rows: DataFrame, _: int) -> None:
-        for seq in [r["seq"] for r in rows.select("seq").distinct().orderBy("seq").collect()]:  # the segments of one trigger
+        rows = rows.persist()
+        seqs = [r["seq"] for r in rows.select("seq").distinct().orderBy("seq").collect()]  # the segments of one trigger
+        if seqs and retention is not None:
+            log.gc(spark, seqs[0] - 1 - retention)
+        for seq in seqs:
             on_segment(deal(rows.where(F.col("seq") == seq), n), seq)
             run_hooks(hooks, log, seq, context)
-            if retention is not None:
-                log.gc(spark, seq - retention)
+        rows.unpersist()
 
     query = segment_stream(spark, log, start).writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
     query = query.trigger(availableNow=True) if available_now else query.trigger(processingTime="1 second")
     return query.start()
 
 
-def drain(spark: SparkSession, log: BlockLog, n: int, on_segment, *, checkpoint: str, poll_s: float = 0.2, rounds: int = 1000, **kw) -> None:
+def drain(spark: SparkSession, log: BlockLog, n: int, on_segment, *, checkpoint: str, poll_s: float = 0.2, rounds: int = 1000, retention: int | None = None, **kw) -> None:
     """Consume until the log has ended and all of it has been read."""
     import time
 
@@ -55,7 +59,9 @@ def drain(spark: SparkSession, log: BlockLog, n: int, on_segment, *, checkpoint:
 
     for _ in range(rounds):
         ended = log.ended()
-        consume(spark, log, n, seen, checkpoint=checkpoint, **kw).awaitTermination()
+        consume(spark, log, n, seen, checkpoint=checkpoint, retention=retention, **kw).awaitTermination()
+        if retention is not None:
+            log.gc(spark, done[0] - retention)
         if ended and done[0] >= (log.last_seq() if log.last_seq() is not None else -1):
             return
         time.sleep(poll_s)
