@@ -52,6 +52,22 @@ def test_rendered_thread_gives_back_its_messages(spark):
         assert (r.n_quoted, r.n_linked, r.deepest) == (r.turn, r.turn, r.turn)
 
 
+def test_statement_agrees_on_quotes(spark):
+    """The DuckDB statement on threads that do quote (the driver's table has no quote)."""
+    import duckdb
+
+    rows = [r for r in THREAD[:7] + THREAD[8:] if r[0] is not None]
+    rows += [(5, 0, "u", "One line.\n\nTwo > not a quote."), (5, 1, "a", "  > One line.\nLe 3 mai B a écrit :\n>\n> Two > not a quote.\nfin"), (6, 0, "u", "> \n>> Yes indeed\n"), (6, 3, "u", "> unknown words\nx")]
+    frame = rows_of(spark, rows)
+    con = duckdb.connect()
+    con.register("conversations", frame.toPandas())
+    want = con.sql(quote_links.ORACLE_OP3)
+    names = sorted(want.columns)
+    at = [want.columns.index(c) for c in names]
+    found = quote_links.link(frame).withColumn("own_sha256", F.sha2("own_text", 256)).select(*names).collect()
+    assert sorted((tuple(r) for r in found), key=str) == sorted((tuple(r[i] for i in at) for r in want.fetchall()), key=str)
+
+
 def test_common_passage_and_empty(spark):
     mails = [(c, t, "u", "> The same line for all.\nown" if t else "The same line for all.") for c in range(50) for t in range(2)]
     got = quote_links.link(rows_of(spark, mails)).collect()

@@ -152,3 +152,44 @@ def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     if "n_chars" in docs.columns:
         done = done.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return done.select(*docs.columns)
+
+
+def _oracle() -> str:
+    r = Rules()
+    quoted = lambda p: "'" + p.replace("'", "''") + "'"
+    spaces = "chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+    symbols = r"[#*$%&|<>]"
+    n_letters = lambda x: f"length(translate({x}, {spaces}, ''))"
+    n_of = lambda x, p: f"len(regexp_extract_all({x}, {quoted(p)}))"
+    fails = f"""regexp_matches(line, {quoted(WORD)}) AND (
+      {n_of("line", symbols)} > {r.max_symbol_share} * {n_letters("line")} OR {n_of("line", f"[{r.navigation_marks}]")} >= {r.min_navigation_marks}
+      OR ({n_of("line", WORD)} >= {r.unpunctuated_words} AND NOT regexp_matches(right(line, 64), {quoted(r.sentence_end)})) OR regexp_matches(line, {quoted(r.boilerplate)}))"""
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t FROM documents),
+w AS (SELECT rid, regexp_extract_all(t, {quoted(WORD)}) AS ws FROM d),
+i AS (SELECT rid, ws, unnest(range(1, len(ws) - {WINDOW} + 2)) AS i FROM w),
+win AS (SELECT rid, i, count(*) OVER (PARTITION BY rid, list_slice(ws, i, i + {WINDOW - 1})) AS n FROM i),
+rep AS (
+  SELECT rid, CAST(sum(least({WINDOW}, coalesce(nxt - i, {WINDOW}))) AS BIGINT) AS n_repeat_words
+  FROM (SELECT rid, i, lead(i) OVER (PARTITION BY rid ORDER BY i) AS nxt FROM win WHERE n > 1) GROUP BY 1
+),
+l AS (SELECT rid, generate_subscripts(s, 1) AS k, unnest(s) AS line FROM (SELECT rid, string_split(t, chr(10)) AS s FROM d)),
+j AS (SELECT *, regexp_matches(line, {quoted(WORD)}) AS has_word, {fails} AS fails FROM l),
+c AS (
+  SELECT rid, count(*) FILTER (has_word) - count(DISTINCT line) FILTER (has_word) AS n_dup_lines, count(*) FILTER (fails) AS removed_lines,
+         coalesce(string_agg(line, chr(10) ORDER BY k) FILTER (NOT fails), '') AS clean
+  FROM j GROUP BY 1
+),
+f AS (
+  SELECT d.doc_id, len(ws) AS n_words, {n_letters("t")} AS word_chars, {n_of("t", symbols)} AS n_symbols, n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words, removed_lines,
+         {n_letters("clean")} AS left_chars, {n_of("clean", WORD)} AS left_words, sha256(clean) AS clean_sha256
+  FROM d JOIN w USING (rid) JOIN c USING (rid) LEFT JOIN rep USING (rid)
+)
+SELECT *, n_words < {r.min_words} OR 100 * n_repeat_words > {r.max_repeat_percent} * n_words AS base_failed,
+       NOT (n_words < {r.min_words} OR 100 * n_repeat_words > {r.max_repeat_percent} * n_words)
+       AND (word_chars = 0 OR 1 - left_chars / word_chars <= {r.max_loss}) AND left_words >= {r.min_left_words} AS kept
+FROM f
+"""
+
+
+ORACLE_OP7 = _oracle()

@@ -153,3 +153,48 @@ def op3(spark, sf_dir: str) -> DataFrame:
     return found.select(
         "conv_id", "turn", "role", "position", "reply_turn", "quoted_conv", "quoted_turn", "n_quoted", "n_linked", "deepest", F.sha2("own_text", 256).alias("own_sha256")
     )
+
+
+def _oracle() -> str:
+    quoted = lambda p: "'" + p.replace("'", "''") + "'"
+    normal_sql = lambda x: f"lower(trim(regexp_replace({x}, '[\\x20\\x09-\\x0D]+', ' ', 'g')))"
+    has_word = lambda x: f"regexp_matches({x}, {quoted(WORD)})"
+    return f"""
+WITH m AS (SELECT row_number() OVER () AS rid, conv_id, turn, role, coalesce(text, '') AS t FROM conversations),
+l AS (SELECT rid, generate_subscripts(s, 1) AS k, unnest(s) AS line FROM (SELECT rid, string_split(t, chr(10)) AS s FROM m)),
+v AS (SELECT rid, k, length(regexp_replace(regexp_extract(line, {quoted(MARKS)}, 1), '[^>]', '', 'g')) AS level, regexp_replace(line, {quoted(MARKS)}, '') AS body FROM l),
+e AS (SELECT *, coalesce(level <> lag(level) OVER w, true)::INTEGER AS begins FROM v WINDOW w AS (PARTITION BY rid ORDER BY k)),
+g AS (SELECT *, sum(begins) OVER (PARTITION BY rid ORDER BY k) AS p FROM e),
+parts AS (SELECT rid, p, min(level) AS level, string_agg(body, chr(10) ORDER BY k) AS body FROM g GROUP BY 1, 2),
+facts AS (SELECT rid, max(level) AS deepest, count(*) FILTER (level > 0 AND {has_word("body")}) AS n_quoted FROM parts GROUP BY 1),
+own AS (
+  SELECT m.rid, CASE WHEN deepest = 0 THEN t ELSE coalesce(trim((SELECT string_agg(body, chr(10) ORDER BY k) FROM v WHERE v.rid = m.rid AND level = 0 AND NOT regexp_matches(body, {quoted(ANNOUNCES)})), chr(32) || chr(9) || chr(10) || chr(13)), '') END AS own
+  FROM m JOIN facts USING (rid)
+),
+source AS (
+  SELECT DISTINCT conv_id, turn, md5({normal_sql("x")}) AS h FROM (
+    SELECT conv_id, turn, own AS x FROM m JOIN own USING (rid) UNION ALL SELECT conv_id, turn, unnest(string_split(own, chr(10))) AS x FROM m JOIN own USING (rid)) WHERE {has_word("x")}
+),
+here AS (SELECT h, conv_id, min(turn) AS there FROM source GROUP BY 1, 2),
+anywhere AS (SELECT h, min(struct_pack(c := conv_id, t := there)) AS first FROM here GROUP BY 1),
+q AS (SELECT rid, p, level, body FROM parts WHERE level > 0 AND {has_word("body")}),
+asked AS (
+  SELECT rid, p, level, 0 AS part, md5({normal_sql("body")}) AS h FROM q UNION ALL
+  SELECT rid, p, level, 1 AS part, md5({normal_sql("x")}) AS h FROM (SELECT rid, p, level, unnest(string_split(body, chr(10))) AS x FROM q) WHERE {has_word("x")}
+),
+found AS (
+  SELECT a.rid, a.p, a.level, min(CASE WHEN n.there IS NOT NULL THEN struct_pack(rank := part, c := m.conv_id, t := n.there)
+                                       WHEN x.first.c <> m.conv_id THEN struct_pack(rank := part + 2, c := x.first.c, t := x.first.t) END) AS dest
+  FROM asked a JOIN m USING (rid) LEFT JOIN here n ON n.h = a.h AND n.conv_id = m.conv_id AND n.there < m.turn LEFT JOIN anywhere x ON x.h = a.h GROUP BY 1, 2, 3
+),
+replies AS (
+  SELECT rid, count(dest) AS n_linked, max(dest.t) FILTER (level = 1 AND dest.rank < 2) AS answers, arg_min(dest.c, p) FILTER (dest IS NOT NULL) AS quoted_conv, arg_min(dest.t, p) FILTER (dest IS NOT NULL) AS quoted_turn
+  FROM found GROUP BY 1
+),
+ranks AS (SELECT conv_id, turn, row_number() OVER w AS position, lag(turn) OVER w AS previous FROM (SELECT DISTINCT conv_id, turn FROM m) WINDOW w AS (PARTITION BY conv_id ORDER BY turn))
+SELECT m.conv_id, m.turn, m.role, position, coalesce(answers, previous) AS reply_turn, quoted_conv, quoted_turn, n_quoted, coalesce(n_linked, 0) AS n_linked, deepest, sha256(own) AS own_sha256
+FROM m JOIN facts USING (rid) JOIN own USING (rid) JOIN ranks ON ranks.conv_id = m.conv_id AND ranks.turn = m.turn LEFT JOIN replies USING (rid)
+"""
+
+
+ORACLE_OP3 = _oracle()

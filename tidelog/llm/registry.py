@@ -21,4 +21,9 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict:
-    return {"op8_extendible_dedup": exact_dedup.ORACLE_OP8, "op9_trigram_secrets": secret_index.ORACLE_OP9}
+    return {
+        "op3_quotation_linking": quote_links.ORACLE_OP3,
+        "op7_line_first_quality": line_quality.ORACLE_OP7,
+        "op8_extendible_dedup": exact_dedup.ORACLE_OP8,
+        "op9_trigram_secrets": secret_index.ORACLE_OP9,
+    }
