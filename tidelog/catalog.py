@@ -6,8 +6,6 @@ plan dealt to ranks with faults put in, arrivals are events, the corpus of vecto
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -15,6 +13,7 @@ from pyspark.sql import types as T
 from .functions import names
 from .operators import checks, mining, probe, train
 from .plans import planner, policy, shuffle
+from .session import shared_folder
 from .streaming import writer as stream_writer
 
 SEED, SEGMENT_BLOCKS, RANKS = 7, 12, 3
@@ -621,7 +620,7 @@ def stream_segments(spark, sf):
 @query()
 def stream_segments_buffered(spark, sf):
     """Segments of 32 drawn from a buffer of 64, by a stateful streaming query over the events' files."""
-    folder = tempfile.mkdtemp(prefix="tidelog-stream-")
+    folder = shared_folder(spark, "stream")
     schema = T.StructType([T.StructField("event_id", T.LongType())])
     source = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf)
     blocks = source.select("event_id", F.concat(F.lit("e"), F.lpad(F.col("event_id").cast("string"), 9, "0")).alias("block_id"))
@@ -642,7 +641,7 @@ def audit_roundtrip(spark, sf):
     from .sources.audit import read_audit, write_audit
     from .sources.storage import Store
 
-    store = Store.at(tempfile.mkdtemp(prefix="tidelog-audit-"))
+    store = Store.at(shared_folder(spark, "audit"))
     write_audit(faulty(spark, sf), store, "run")
     return read_audit(spark, store, "run").drop("part", "line")
 
@@ -655,7 +654,7 @@ def log_roundtrip(spark, sf):
     from .sources.log import BlockLog, Ref
     from .sources.storage import Store
 
-    store = Store.at(tempfile.mkdtemp(prefix="tidelog-log-"))
+    store = Store.at(shared_folder(spark, "log"))
     rows = table(spark, sf, "lineitem").where("l_orderkey < 2400").select("l_orderkey", "l_linenumber", F.concat(F.lit("b"), F.lpad(block_number().cast("string"), 5, "0")).alias("block_id"))
     refs = [Ref(*r) for r in write_blocks(rows, store).collect()]
     log = BlockLog.create(store, len(refs), SEED)

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import SparkSession
 
 
@@ -19,3 +22,10 @@ def builder(name: str = "tidelog", master: str | None = None) -> SparkSession.Bu
     }.items():
         out = out.config(key, value)
     return out
+
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder that driver and executors share: under spark.checkpoint.dir, or one of our own where that is unset, as in tests."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    base = base or f"file://{tempfile.mkdtemp(prefix='tidelog-')}"
+    return f"{base.rstrip('/')}/tidelog/{name}-{uuid.uuid4().hex}"
