@@ -86,7 +86,8 @@ def _deal(bits: int, half: int):
 
     def run(batches):
         all_masks = np.unique(image(masks(half), bits))
-        for block in _blocks(batches, "print", 1 << 18):
+        # where every class gets the whole block, all copies together stay below about 64 MB
+        for block in _blocks(batches, "print", max(1 << 8, (1 << 23) >> bits)):
             prints = block.view(np.uint64)
             own = image(prints, bits)
             classes = all_masks[None, :] ^ own[:, None] if len(all_masks) < 1 << bits else None
