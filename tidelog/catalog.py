@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 from .functions import names
 from .operators import checks, mining, probe, train
 from .plans import planner, policy, shuffle
-from .session import shared_folder
+from .session import shared_folder, stored
 from .streaming import writer as stream_writer
 
 SEED, SEGMENT_BLOCKS, RANKS = 7, 12, 3
@@ -73,7 +73,7 @@ def faulty(spark: SparkSession, sf: str) -> DataFrame:
     """Some positions missing, some twice, some dealt to the next rank."""
     good = trail(plan(spark, sf), RANKS).where("position % 97 <> 13")
     wrong = good.withColumn("rank", F.when(F.col("position") % 101 == 7, (F.col("rank") + 1) % RANKS).otherwise(F.col("rank")))
-    return wrong.unionByName(good.where("position % 89 = 5"))
+    return stored(wrong.unionByName(good.where("position % 89 = 5")), "trail")
 
 
 _BLOCKS = "blocks AS (SELECT 'b' || lpad(CAST(l_orderkey // 100 AS VARCHAR), 5, '0') AS block_id, count(*) AS num_rows FROM lineitem GROUP BY 1)"
@@ -381,7 +381,7 @@ due AS (SELECT unnest(range(lo, hi)) AS position FROM f), c AS (SELECT position,
 {_dealing()} UNION ALL {_problem("resume", "d.position", "'missing'", "due d ANTI JOIN c ON d.position = c.position")} UNION ALL
 {_problem("resume", "c.position", "'extra'", "c ANTI JOIN due d ON d.position = c.position")} UNION ALL {_problem("resume", "position", "'consumed more than once'", "c WHERE n > 1")}""")
 def check_resume(spark, sf):
-    rows = trail(plan(spark, sf), 4).where("position >= 33")
+    rows = stored(trail(plan(spark, sf), 4).where("position >= 33"), "trail")
     return checks.resumed(rows.unionByName(rows.where("position % 50 = 0")), SEGMENT_BLOCKS, ledger=(2, 6))
 
 
@@ -393,13 +393,13 @@ moved AS (SELECT m.*, (SELECT count(*) FROM records r WHERE r.attempt = m.before
 {_dealing()} UNION ALL {_duplicates()} UNION ALL
 {_problem("recovery", "attempt", "'mixed world sizes'", "per WHERE sizes > 1")} UNION ALL
 {_problem("recovery", "attempt", "'gap after ' || last_before", "moved WHERE first > last_before + 1")} UNION ALL
-{_problem("recovery", "attempt", "'does not start place a step boundary'", "moved WHERE (first % 12) % n <> 0")} UNION ALL
+{_problem("recovery", "attempt", "'does not start at a step boundary'", "moved WHERE (first % 12) % n <> 0")} UNION ALL
 {_problem("recovery", "attempt", "'replays ' || replayed", "moved WHERE replayed > 2 * 4 * n_before + n")} UNION ALL
 {_problem("recovery", "position", "'never consumed'", "(SELECT unnest(range((SELECT (max(segment) + 1) * 12 FROM records))) AS position) d ANTI JOIN records r USING (position)")}""")
 def check_recovery(spark, sf):
     rows = plan(spark, sf)
     parts = [trail(rows, 2, 0).where("position < 45"), trail(rows, 3, 1).where("position >= 20 and position < 60"), trail(rows, 4, 2).where("position >= 65")]
-    return checks.recovery(checks.union(*parts), SEGMENT_BLOCKS, every_k=4)
+    return checks.recovery(stored(checks.union(*parts), "trail"), SEGMENT_BLOCKS, every_k=4)
 
 
 def ledgers(spark, sf) -> DataFrame:
@@ -476,7 +476,7 @@ r AS (SELECT * FROM used LEFT JOIN log USING (segment) LEFT JOIN e USING (segmen
 {_problem("hook", "segment", "'not written by the hook after the segment before'", "r WHERE segment >= 2 AND writer <> 'remine'")} UNION ALL
 {_problem("hook", "segment", "'committed before the segment before was done'", "r WHERE segment >= 2 AND created <= first_ts + 0.05 AND created + 0.05 < end0")}""")
 def check_hook_provenance(spark, sf):
-    rows = plan(spark, sf)
+    rows = stored(plan(spark, sf), "plan")
     blocks = F.sort_array(F.collect_list(F.struct("pos", "block_id")))
     created = F.when(F.col("seq") % 4 == 3, F.col("seq") * 10 - 6.9).otherwise(F.col("seq") * 10 - 0.5)
     writer = F.when(F.col("seq") % 6 == 5, F.lit("batch")).otherwise(F.lit("remine"))
