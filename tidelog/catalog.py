@@ -648,15 +648,19 @@ def audit_roundtrip(spark, sf):
 
 @query("SELECT l_orderkey, l_linenumber, 'b' || lpad(CAST(l_orderkey // 100 AS VARCHAR), 5, '0') AS block_id FROM lineitem WHERE l_orderkey < 2400")
 def log_roundtrip(spark, sf):
-    """Blocks written one a file, committed as segments, read back through the manifest (the store is a small one)."""
+    """All blocks written one a file, committed as segments, read back through the manifest.
+
+    The last segment is filled from the head of the order; a block that stands twice is read where it stands first.
+    """
     from .operators.writers import BatchWriter
-    from .sources.blocks import write_blocks
+    from .sources.blocks import read_blocks, write_blocks
     from .sources.log import BlockLog, Ref
     from .sources.storage import Store
 
     store = Store.at(shared_folder(spark, "log"))
-    rows = table(spark, sf, "lineitem").where("l_orderkey < 2400").select("l_orderkey", "l_linenumber", F.concat(F.lit("b"), F.lpad(block_number().cast("string"), 5, "0")).alias("block_id"))
-    refs = [Ref(*r) for r in write_blocks(rows, store).collect()]
-    log = BlockLog.create(store, len(refs), SEED)
-    BatchWriter(log, sorted(refs, key=lambda r: r.block_id), spark=spark).run()
-    return log.rows(spark).select("l_orderkey", "l_linenumber", "block_id")
+    rows = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", F.concat(F.lit("b"), F.lpad(block_number().cast("string"), 5, "0")).alias("block_id"))
+    refs = [Ref(*r) for r in write_blocks(rows, store).collect()]  # a small row a block
+    log = BlockLog.create(store, SEGMENT_BLOCKS, SEED)
+    BatchWriter(log, sorted(refs, key=lambda r: r.block_id), tail="wrap", spark=spark).run()
+    places = log.manifest(spark).groupBy("block_id").agg(F.min(F.struct("position", "seq", "pos")).alias("p")).select("block_id", "p.*")
+    return read_blocks(spark, store, places).select("l_orderkey", "l_linenumber", "block_id")
