@@ -13,8 +13,8 @@ BANK_ROWS = 50_000
 PARTS = 64
 
 
-def neighbours(queries: DataFrame, bank: DataFrame, k: int, item: str = "vec_id", vector: str = "embedding", label: str = "label", bank_rows: int = BANK_ROWS) -> DataFrame:
-    """(query, item, label, sim, rank): the k nearest of the bank by dot product, ties by id.
+def neighbours(queries: DataFrame, bank: DataFrame, k: int, item: str = "vec_id", vector: str = "embedding", label: str = "label", bank_rows: int = BANK_ROWS, itself: bool = True) -> DataFrame:
+    """(query, item, label, sim, rank): the k nearest of the bank by dot product, ties by id; without itself, rows of the query's own id are left out.
 
     Each pair is scored once, as the definition asks. With a small bank queries stay where they are; with a large one
     every part of it scores all queries in turn and keeps k a query, so what is shuffled is k rows a query and part.
@@ -27,6 +27,8 @@ def neighbours(queries: DataFrame, bank: DataFrame, k: int, item: str = "vec_id"
     else:
         b = b.withColumn("part", F.pmod(F.xxhash64("item"), F.lit(PARTS)))
         pairs = q.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(PARTS - 1).cast("long")))).join(b, "part")
+    if not itself:
+        pairs = pairs.where(F.col("item") != F.col("query"))
     scored = pairs.select("query", "query_label", "part", "item", "label", dot(F.col("q"), F.col("b")).alias("sim"))
     if not few:
         inner = W.partitionBy("query", "part").orderBy(F.col("sim").desc(), "item")
