@@ -1,5 +1,8 @@
 """Queries do the whole job, on tables larger than the smallest ones."""
 
+import collections
+import hashlib
+
 import numpy as np
 
 from tidelog import catalog
@@ -42,3 +45,13 @@ def test_knn_asks_for_every_hundredth_row_against_all(spark, tmp_path):
     assert {r["query"]: r["predicted"] for r in catalog.knn_vote(spark, str(tmp_path)).collect()} == votes
     got = catalog.knn_accuracy(spark, str(tmp_path)).first()
     assert got["queries"] == 6 and abs(got["accuracy"] - np.mean([votes[q] == label[q] for q in votes])) < 1e-9
+
+
+def test_segment_anchors_draw_every_item_twice(spark, tmp_path):
+    """1,100 items are more than 20 segments of 48 hold, and two passes no multiple of 48."""
+    n = 1100
+    spark.range(n).selectExpr("id AS vec_id").write.parquet(f"{tmp_path}/embeddings.parquet")
+    drawn = [i for p in range(3) for i in sorted(range(n), key=lambda i: (hashlib.md5(f"7:{p}:{i}".encode()).hexdigest(), i))][: 46 * 48]
+    got = sorted((r.seq, r.i, r.segment_pass, r.item) for r in catalog.segment_anchors(spark, str(tmp_path)).collect())
+    assert got == [(at // 48, at % 48, at // 48 * 48 // n, item) for at, item in enumerate(drawn)]
+    assert set(range(n)) == set(drawn) and min(collections.Counter(drawn).values()) == 2

@@ -240,8 +240,10 @@ e AS (SELECT vec_id AS item, pass, pass * n + row_number() OVER (PARTITION BY pa
       FROM embeddings, n, (SELECT unnest(range(20)) AS pass))
 SELECT place // 48 AS seq, place % 48 AS i, ((place // 48) * 48) // n AS segment_pass, item FROM e WHERE place < 20 * 48""")
 def segment_anchors(spark, sf):
+    """Two whole passes at least: every item is drawn, and segments run across the end of a pass."""
     items = table(spark, sf, "embeddings")
-    return planner.segment_anchors(items, "vec_id", 48, 20, SEED, items.count())
+    n = items.count()
+    return planner.segment_anchors(items, "vec_id", 48, -(-2 * n // 48), SEED, n)
 
 
 @query("""SELECT * FROM (SELECT block_id, NOT (block_id = '' OR contains(block_id, '/') OR starts_with(block_id, '.')) AS valid_id,
