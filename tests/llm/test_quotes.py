@@ -85,3 +85,18 @@ def test_query_matches_plain_version(spark):
         before = [t for t in turns[r.conv_id] if t < r.turn]
         assert r.position == len(before) + 1 and r.reply_turn == max(before, default=None) and r.n_quoted == 0
         assert r.own_sha256 == hashlib.sha256((source[(r.conv_id, r.turn)].text or "").encode()).hexdigest()
+
+
+def test_own_conversation_does_not_hide_another_and_null_turns_come_first(spark):
+    rows = [
+        (5, 0, "u", "> The passage of nine.\nask"), (5, 3, "u", "The passage of nine."), (9, 0, "u", "The passage of nine."), (12, 0, "u", "The passage of nine."),
+        (6, 0, "u", "> only here\nlater"), (6, 1, "u", "only here"),
+        (7, None, "u", "Before all."), (7, 0, "u", "between"), (7, 1, "u", "> Before all.\nyes"),
+        (None, 0, "u", "> of nobody\nx"), (None, 2, "u", "of nobody"), (13, 4, "u", "of nobody"),
+        (14, 0, "u", "> of nobody\ny"),
+    ]
+    got = {(r.conv_id, r.turn): r for r in quote_links.link(rows_of(spark, rows)).collect()}
+    linked = {k: (r.n_linked, r.quoted_conv, r.quoted_turn, r.reply_turn) for k, r in got.items() if r.n_quoted}
+    assert linked == {
+        (5, 0): (1, 9, 0, None), (6, 0): (0, None, None, None), (7, 1): (1, 7, None, None), (None, 0): (1, 13, 4, None), (14, 0): (1, None, 2, None),
+    }

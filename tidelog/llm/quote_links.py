@@ -116,20 +116,26 @@ def link(messages: DataFrame, conv_id: str = "conv_id", turn: str = "turn", text
     # originals: each message's own text, whole and by line, only hashes that somebody quotes, folded to the earliest message
     own = rows.select("conv", "at", F.explode(hashes(F.concat(F.array("own_text"), F.split("own_text", "\n", -1)))).alias("h"))
     own = join_checked(own, staged(asked.select("h").distinct(), "quoted-hashes"), ["h"], "left_semi")
-    here = staged(own.groupBy("h", "conv").agg(F.min("at").alias("there")), "originals")
-    anywhere = here.groupBy("h").agg(F.min(F.struct(F.col("conv").alias("c"), F.col("there").alias("t"))).alias("first"))
+    # turns are compared within structs, where null is the least
+    here = staged(own.groupBy("h", "conv").agg(F.min(F.struct(F.col("at").alias("t"))).alias("there")), "originals")
+    # and the least originals of the two least conversations of each hash: one of them isn't the asking conversation
+    original = F.struct(F.col("conv").alias("c"), F.col("there.t").alias("t"))
+    first = staged(here.groupBy("h").agg(F.min(original).alias("first")), "first-originals")
+    rest = join_checked(here, first, ["h"], "inner").where(~F.col("conv").eqNullSafe(F.col("first.c")))
+    anywhere = first.join(rest.groupBy("h").agg(F.min(original).alias("second")), "h", "left")
     near = here.select("h", F.col("conv").alias("c"), "there")
-    found = asked.join(near, (asked["h"] == near["h"]) & asked["conv"].eqNullSafe(near["c"]) & (near["there"] < asked["at"]), "left").drop(near["h"]).drop("c")
+    earlier = (near["there.t"] < asked["at"]) | (near["there.t"].isNull() & asked["at"].isNotNull())
+    found = asked.join(near, (asked["h"] == near["h"]) & asked["conv"].eqNullSafe(near["c"]) & earlier, "left").drop(near["h"]).drop("c")
     found = found.join(anywhere, "h", "left")
-    other = F.col("first").isNotNull() & ~F.col("first.c").eqNullSafe(F.col("conv"))
-    choice = F.when(F.col("there").isNotNull(), F.struct(F.col("part").alias("rank"), F.col("conv").alias("c"), F.col("there").alias("t"))).when(
-        other, F.struct((F.col("part") + 2).alias("rank"), F.col("first.c").alias("c"), F.col("first.t").alias("t"))
+    found = found.withColumn("other", F.when(F.col("first.c").eqNullSafe(F.col("conv")), F.col("second")).otherwise(F.col("first")))
+    choice = F.when(F.col("there").isNotNull(), F.struct(F.col("part").alias("rank"), F.col("conv").alias("c"), F.col("there.t").alias("t"))).when(
+        F.col("other").isNotNull(), F.struct((F.col("part") + 2).alias("rank"), F.col("other.c").alias("c"), F.col("other.t").alias("t"))
     )
     linked = found.groupBy("conv", "at", "tie", "k").agg(F.min(choice).alias("to"), F.first("level").alias("level"))
     replies = staged(
         linked.groupBy("conv", "at", "tie").agg(
             F.count("to").alias("n_linked"),
-            F.max(F.when((F.col("level") == 1) & (F.col("to.rank") < 2), F.col("to.t"))).alias("answers"),
+            F.max(F.when((F.col("level") == 1) & (F.col("to.rank") < 2), F.struct("to.t"))).alias("answers"),
             F.min(F.when(F.col("to").isNotNull(), F.struct("k", "to.c", "to.t"))).alias("source"),
         ),
         "replies",
@@ -142,7 +148,7 @@ def link(messages: DataFrame, conv_id: str = "conv_id", turn: str = "turn", text
     replies = replies.withColumns(keys).drop("conv", "at")
     rows = join_checked(rows, replies, [*keys, "tie"], "left")
     return rows.withColumns({
-        "reply_turn": F.coalesce("answers", "previous"), "quoted_conv": F.col("source.c"), "quoted_turn": F.col("source.t"), "n_quoted": F.size(quoted).cast("long"),
+        "reply_turn": F.when(F.col("answers").isNotNull(), F.col("answers.t")).otherwise(F.col("previous")), "quoted_conv": F.col("source.c"), "quoted_turn": F.col("source.t"), "n_quoted": F.size(quoted).cast("long"),
         "n_linked": F.coalesce("n_linked", F.lit(0)).cast("long"), "deepest": F.array_max(F.transform("passages", lambda p: p["level"])).cast("long"),
     }).drop(*keys, "conv", "at", "tie", "answers", "source", "previous")
 
