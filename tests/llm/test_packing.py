@@ -63,3 +63,16 @@ def test_all_capacities_hold_and_bins_are_few(score):
     assert sum(n for _, n in bins) <= 1.01 * -(-sum(k * v for k, v in counts.items()) // 1024) + 1
     with pytest.raises(ValueError):
         packing.pack_lengths({2000: 1})
+
+
+def test_ids_equal_an_untouched_tokenizer():
+    from tokenizers import Tokenizer
+
+    path = packing.vocabulary_path()
+    ids, untouched = packing.Ids(path), Tokenizer.from_file(path)
+    r = random.Random(1)
+    parts = ["<|endoftext|>", "<|endoftext", "|>", " ", "\n", "a", "Two words", "é", "  ", "12"]
+    texts = ["one <|endoftext|> two", *("".join(r.choices(parts, k=8)) for _ in range(300))]
+    for t in texts:
+        assert ids(t) == np.array(untouched.encode(t, add_special_tokens=False).ids, "<u4").tobytes()
+    assert 50256 in np.frombuffer(ids(texts[0]), "<u4")
