@@ -57,3 +57,16 @@ def test_salvage_plain_records_and_truncation():
     assert list(warc.salvage(b"")) == [] and list(warc.salvage(b"xx"))[0][0] == "gap"
     packed = warc.record(1, "u", b"z" * 99, None, False)
     assert list(warc.salvage(packed[:-3]))[0][3].startswith("gzip")
+
+
+def test_salvage_member_of_several_records():
+    import gzip
+    import zlib
+
+    plain = [zlib.decompress(warc.record(i, "u", b"body" * 9, None, False), 31) for i in range(4)]
+    ids = lambda out: [warc._page(x[3]["fields"]["warc-record-id"]) if x[0] == "record" else "gap" for x in out]
+    whole, bad = gzip.compress(b"".join(plain)), gzip.compress(plain[0].replace(b"body", b"bodx", 1) + plain[1] + b"junk" + plain[2])
+    assert ids(warc.salvage(whole)) == [0, 1, 2, 3]
+    out = list(warc.salvage(whole + bad + warc.record(3, "u", b"z", None, False)))
+    assert ids(out) == [0, 1, 2, 3, "gap", 1, "gap", 2, 3]
+    assert {x[1:3] for x in out[4:8]} == {(len(whole), len(whole) + len(bad))}

@@ -154,37 +154,56 @@ def _member(data: bytes, at: int) -> tuple[bytes, int] | str:
     return (content, len(data) - len(reader.unused_data)) if reader.eof else "gzip: stream cut off"
 
 
-def salvage(data: bytes):
-    """Yield ("record", start, end, parsed) and ("gap", start, end, reason), in order and without overlap."""
+def salvage(data: bytes, members: bool = True):
+    """Yield ("record", start, end, parsed) and ("gap", start, end, reason), in order and without overlap.
+
+    What a gzip member of several records (or of records and damage) holds is salvaged too; all of it bears the member's own start and end.
+    """
     at, gap, why = 0, None, ""
     while at < len(data):
-        packed = data.startswith(_MEMBER, at)
-        if packed:
+        if members and data.startswith(_MEMBER, at):
             got = _member(data, at)
-            found = parse(got[0]) if isinstance(got, tuple) else got
-            end = got[1] if isinstance(got, tuple) else at
+            found, end, some = got, at, False
+            if isinstance(got, tuple):
+                found, end = "no version line", got[1]
+                lead = []  # the gap before the first record, if any
+                for what, _, _, x in salvage(got[0], False):
+                    if what == "record" and not some:
+                        some = True
+                        if gap is not None:
+                            yield "gap", gap, at, why
+                            gap = None
+                        yield from lead
+                    if some:
+                        yield what, at, end, x
+                    else:
+                        found = x
+                        lead.append((what, at, end, x))
+            if some:
+                at = end
+                continue
         else:
             limit = data.find(b"\r\n\r\n", at)  # a plain record: only its own span is copied
             length = re.search(rb"(?i)\r\ncontent-length:[ \t]*(\d+)", data[at:limit]) if limit >= 0 else None
             found = parse(data[at : limit + 8 + int(length[1])] if length else data[at : max(limit, at) + 4])
-            end = at + found["used"] if isinstance(found, dict) else at
-        if isinstance(found, dict):
-            if gap is not None:
-                yield "gap", gap, at, why
-                gap = None
-            yield "record", at, end, found
-            at = end
-            continue
+            if isinstance(found, dict):
+                if gap is not None:
+                    yield "gap", gap, at, why
+                    gap = None
+                end = at + found["used"]
+                yield "record", at, end, found
+                at = end
+                continue
         if gap is None:
             gap, why = at, found
-        at = _next(data, at + 1)
+        at = _next(data, at + 1, members)
     if gap is not None:
         yield "gap", gap, len(data), why
 
 
-def _next(data: bytes, at: int) -> int:
+def _next(data: bytes, at: int, members: bool = True) -> int:
     """Where the next member that opens with a version line, or the next plain version line, begins."""
-    member, line = data.find(_MEMBER, at), _VERSION_AT.search(data, at)
+    member, line = data.find(_MEMBER, at) if members else -1, _VERSION_AT.search(data, at)
     while member >= 0 and (line is None or member < line.start()):
         try:
             if zlib.decompressobj(31).decompress(memoryview(data)[member : member + 4096], 64).startswith(b"WARC/1."):
