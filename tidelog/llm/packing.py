@@ -17,6 +17,7 @@ table gives an empty result; extra columns are ignored.
 
 from __future__ import annotations
 
+import collections
 import zlib
 from dataclasses import dataclass
 
@@ -37,7 +38,8 @@ PIECES = "doc_id long, row long, piece int, start long, length long, ids_crc32 l
 @dataclass(frozen=True)
 class Capacity:
     tokens: int = 1024
-    documents: int = 256
+    #: a document has a token at least, so the tokens bind first unless this is set lower
+    documents: int = 1024
     #: sum of squared piece lengths, as attention within documents costs
     cost: int = 1024 * 1024
     weights: tuple[float, float, float] = (1.0, 0.05, 0.05)
@@ -50,32 +52,48 @@ def vocabulary_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+#: How vocabularies of byte-level pairs cut a text into words (fixed value).
+BYTE_LEVEL_WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+
+
+def _byte_letters() -> dict[str, int]:
+    """The letter that a byte-level vocabulary writes for each byte: printable Latin-1 as it is, the others from U+0100 on."""
+    plain = [b for b in range(256) if chr(b).isprintable() and b not in (0x20, 0xA0, 0xAD)]
+    others = [b for b in range(256) if b not in set(plain)]
+    return {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(others)}
+
+
 class Ids:
-    """Ids of a text as little-endian 32-bit bytes, as the library gives them without added tokens; the string of a special token is that token."""
+    """Ids of a text as little-endian 32-bit bytes, as the library gives them without added tokens; the string of a special token is that token.
+
+    Plain byte-level pair vocabularies are encoded by another implementation of the same merges, several times as fast; where the
+    vocabulary file says more than that (a normaliser, another cut into words), the library encodes.
+    """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.encoder = Tokenizer.from_file(path)
-        self.fast = self._ranks(path, {t.content: i for i, t in self.encoder.get_added_tokens_decoder().items()})
-
-    @staticmethod
-    def _ranks(path: str, special: dict[str, int]):
-        """The same vocabulary for tiktoken, if its file lies beside; ids are equal and several times as fast."""
-        import base64
-        import os
-
-        try:
-            import public_tokenizers
-            import tiktoken
-        except ImportError:
+        self.fast = self._fast(path)
+
+    def _fast(self, path: str):
+        import json
+
+        import tiktoken
+
+        with open(path, encoding="utf-8") as file:
+            said = json.load(file)
+        words, model = said.get("pre_tokenizer") or {}, said["model"]
+        plain = words.get("type") == "ByteLevel" and words.get("use_regex", True) and not words.get("add_prefix_space") and not said.get("normalizer")
+        odd = ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "ignore_merges", "byte_fallback")
+        if not plain or said.get("truncation") or any(model.get(k) for k in odd):
             return None
-        other = os.path.splitext(path)[0] + ".tiktoken"
-        if not os.path.exists(other):
+        added = {t.content: (i, t) for i, t in self.encoder.get_added_tokens_decoder().items()}
+        if any(t.single_word or t.lstrip or t.rstrip for _, t in added.values()):
             return None
-        with open(other, "rb") as lines:
-            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-        return tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=special)
+        byte = _byte_letters()
+        ranks = {bytes(byte[c] for c in token): i for token, i in model["vocab"].items() if token not in added}
+        return tiktoken.Encoding("own", pat_str=BYTE_LEVEL_WORDS, mergeable_ranks=ranks, special_tokens={token: i for token, (i, _) in added.items()})
 
     def __call__(self, text: str) -> bytes:
         if self.fast:
@@ -188,12 +206,14 @@ def pack(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", vocabul
     # a length's slots are runs of ranks; the table has a row for each class of bins and piece in it, however many bins there are
     schema = "length long, low long, high long, first long, offset long"
     places = spark.createDataFrame(table, schema) if table else spark.createDataFrame([], schema)
-    runs = F.transform(F.sort_array(F.collect_list(F.struct("low", "high", "first", "offset"))), lambda x: x).alias("runs")
-    by_length = places.groupBy("length").agg(runs)
+    by_length = places.groupBy("length").agg(F.sort_array(F.collect_list(F.struct("low", "high", "first", "offset"))).alias("runs"))
+    most = max(collections.Counter(r[0] for r in table).values(), default=1)
     ranked = join_checked(pieces, starts, ["length", "task"], "inner").withColumn("rank", F.col("rank") + F.col("before")).drop("before")
     found = ranked.join(F.broadcast(by_length), "length")  # at most a row for each length
-    place = F.get(F.filter("runs", lambda r: (r["low"] <= F.col("rank")) & (F.col("rank") < r["high"])), F.lit(0))
-    out = found.withColumn("place", place)
+    # the last run that begins at the rank or before, by bisection
+    halves = F.array(*[F.lit(1 << k) for k in reversed(range(most.bit_length()))])
+    at = F.aggregate(halves, F.lit(0), lambda low, half: F.when(F.coalesce(F.get("runs", low + half)["low"] <= F.col("rank"), F.lit(False)), low + half).otherwise(low))
+    out = found.withColumn("place", F.get("runs", at))
     return out.select(
         "doc_id", "task", "row", "piece", "start", "length", "ids_crc32",
         (F.col("place.first") + F.col("rank") - F.col("place.low")).alias("sequence_id"), F.col("place.offset").alias("offset"), *(["ids"] if keep_ids else []),
