@@ -57,3 +57,54 @@ def test_stage_and_empty(spark):
     out = line_quality.stage(spark, docs(spark, rows), "")
     assert out.columns == docs(spark, rows).columns and all(r.n_chars == len(r.text) for r in out.collect())
     assert line_quality.stage(spark, docs(spark, []), "").count() == 0
+
+
+LONG = "one two three four five six seven eight nine ten eleven twelve thirteen"
+
+
+def test_punctuation_rule_reads_the_whole_line(spark):
+    good = prose(6, 9)
+    gone = {
+        LONG + ".": False, LONG + "." + " " * 80: False, LONG + ".\r": False, "First sentence here. " + LONG: False, LONG + "。" + LONG: False, LONG: True, LONG + " v1.2x of a": True, LONG + "." + "x" * 70: True,
+        LONG + "\nand goes on here.": False, LONG + "\nÉt": True, "short line": False,
+    }
+    rows = [(k, "\n".join([*good, x]), "en", "s", 1, "q", "x", 1) for k, x in enumerate(gone)]
+    assert [q.removed_lines == 1 for q in facts(spark, rows)] == list(gone.values())
+
+
+def test_notices_in_four_languages(spark):
+    good = prose(6, 9)
+    notices = [
+        "© 2020 Acme. All rights reserved.", "Alle Rechte vorbehalten.", "Unsere Datenschutzerklärung lesen.", "Tous droits réservés.", "Voir la politique de confidentialité.", "Todos los derechos reservados.",
+        "Utilizamos cookies propias.", "Lea la POLÍTICA DE PRIVACIDAD.",
+    ]
+    rows = [(k, "\n".join([*good, x]), "en", "s", 1, "q", "x", 1) for k, x in enumerate([*notices, "Das Recht ist vorbehalten.", "Los derechos de todos."])]
+    assert [q.removed_lines for q in facts(spark, rows)] == [1] * len(notices) + [0, 0]
+
+
+def test_statement_agrees_on_awkward_rows(spark):
+    """The DuckDB statement over rows that the driver's table doesn't have; neither side shares the other's expressions for windows and lines."""
+    import duckdb
+
+    more = [LONG, LONG + "\nand goes on here.", "Home | About | News | Shop\n" * 3, "# % word\nAlle Rechte vorbehalten.\n\n" + "\n".join(prose(9, 5)), "a b c d e f " * 3, "x\r\ny\x0bz"]
+    rows = [r for r in awkward(enumerate(more, 60)) if not r[1] or "\x00" not in r[1]]
+    frame = docs(spark, rows)
+    con = duckdb.connect()
+    con.register("documents", frame.select("doc_id", "text").toPandas())
+    want = con.sql(line_quality.ORACLE_OP7)
+    names = [c for c in want.columns if c not in ("doc_id", "clean_sha256")]
+    got = line_quality.clean(frame)
+    name = [c for c in got.columns if c.startswith("quality")][-1]
+    plain = lambda i: None if i is None or i != i else int(i)
+    found = sorted((str(r.doc_id), *(r[name][c] for c in names)) for r in got.collect())
+    at = [want.columns.index(c) for c in names]
+    assert found == sorted((str(plain(r[want.columns.index("doc_id")])), *(r[i] for i in at)) for r in want.fetchall())
+
+
+def test_op7_is_the_operator_on_the_whole_table(spark):
+    sf = "/root/testdata/sf0.001"
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    got = line_quality.op7(spark, sf).collect()
+    assert len(got) == len(texts)
+    for r in got:
+        assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed) == base(texts[r.doc_id]) and not (r.base_failed and r.kept)

@@ -75,5 +75,15 @@ def free_name(df: DataFrame, stem: str) -> str:
     return name
 
 
+def spread(df: DataFrame, most_bytes: int = 128_000_000, task_bytes: int = 4_000_000) -> DataFrame:
+    """df in a task a core where it is small, as one row group is one task whatever the cores; large inputs stay as they are split.
+
+    Only the speed of work on whole texts depends on it.
+    """
+    n = session_of(df).sparkContext.defaultParallelism
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(n) if size <= min(most_bytes, n * task_bytes) else df
+
+
 def parallelism(spark: SparkSession) -> int:
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)

@@ -18,12 +18,29 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACES, WORD, free_name, text_of
+from .common import SPACES, WORD, free_name, spread, text_of
 
 SYMBOLS = "#*$%&|<>"
 WINDOW = 5
 
 
+#: Phrases of site notices in four languages, after a word's start and without regard to ASCII case (fixed values).
+BOILERPLATE = (
+    r"all rights reserved\b", r"terms of (?:use|service)\b", r"privacy policy\b", r"cookie policy\b", r"use of cookies\b", r"we use cookies\b", r"accept (?:all )?cookies\b",
+    r"sign up for our newsletter\b", r"subscribe to our newsletter\b", r"click here to\b", r"skip to (?:main )?content\b", r"share (?:this )?on (?:facebook|twitter)\b",
+    r"enable javascript\b", r"javascript is (?:disabled|required)\b", r"lorem ipsum\b",
+    r"alle rechte vorbehalten\b", r"nutzungsbedingungen\b", r"allgemeine gesch[äÄ]ftsbedingungen\b", r"datenschutzerkl[äÄ]rung\b", r"cookie-richtlinie\b", r"wir verwenden cookies\b",
+    r"(?:alle )?cookies akzeptieren\b", r"newsletter abonnieren\b", r"abonnieren sie unseren newsletter\b", r"klicken sie hier\b", r"zum (?:haupt)?inhalt springen\b",
+    r"auf (?:facebook|twitter) teilen\b", r"javascript (?:ist deaktiviert|aktivieren)\b",
+    r"tous droits r[éÉ]serv[éÉ]s\b", r"conditions (?:g[éÉ]n[éÉ]rales )?d[’']utilisation\b", r"politique de confidentialit[éÉ]", r"politique (?:en mati[èÈ]re )?de cookies\b",
+    r"nous utilisons des cookies\b", r"accepter (?:tous )?les cookies\b", r"(?:abonnez-vous|inscrivez-vous) [àÀ] notre newsletter\b", r"cliquez ici\b",
+    r"aller au contenu\b", r"partager sur (?:facebook|twitter)\b", r"activer javascript\b",
+    r"todos los derechos reservados\b", r"(?:t[éÉ]rminos|condiciones) de (?:uso|servicio)\b", r"pol[íÍ]tica de (?:privacidad|cookies)\b", r"(?:utilizamos|usamos) cookies\b",
+    r"aceptar (?:todas )?las cookies\b", r"suscr[íÍ]b(?:ase|ete) a nuestro bolet[íÍ]n\b", r"haga clic aqu[íÍ]", r"(?:saltar|ir) al contenido\b", r"compartir en (?:facebook|twitter)\b",
+    r"(?:habilitar|activar) javascript\b",
+)
+
+
 @dataclass(frozen=True)
 class Rules:
     """Limits of the line and document rules."""
@@ -33,16 +50,13 @@ class Rules:
     max_loss: float = 0.5  # share of word characters that removed lines may hold
     min_left_words: int = 10
     max_symbol_share: float = 0.05  # of word characters, per line
-    #: a line of that many words or more needs a mark that ends a sentence, within its last 64 characters
+    #: a line of that many words or more has a mark that ends a sentence, wherever, or goes on in the next line
     unpunctuated_words: int = 12
     navigation_marks: str = "|»›•>"
     min_navigation_marks: int = 3
-    boilerplate: str = (
-        r"(?i)\b(?:all rights reserved|terms of (?:use|service)|privacy policy|cookie policy|use of cookies|we use cookies"
-        r"|accept (?:all )?cookies|sign up for our newsletter|subscribe to our newsletter|click here to|skip to (?:main )?content"
-        r"|share (?:this )?on (?:facebook|twitter)|enable javascript|javascript is (?:disabled|required)|lorem ipsum)\b"
-    )
-    sentence_end: str = r"[.!?…:;。！？][\"')\]»”’]*[\x20\x09-\x0D]*$"
+    boilerplate: str = r"(?i)\b(?:" + "|".join(BOILERPLATE) + ")"
+    sentence_end: str = r"[.!?…:;][\"')\]»”’]*(?:[\x20\x09-\x0D]|\z)|[。！？]"
+    goes_on: str = r"^[\x20\x09-\x0D]*[a-zà-öø-ÿ]"  # the first letter of a line that continues the one before
 
 
 def letters(column: Column) -> Column:
@@ -55,15 +69,15 @@ def count_of(column: Column, characters: str) -> Column:
     return F.length(F.regexp_replace(column, f"[^{kept}]+", "")).cast("long")
 
 
-def line_fails(line: Column, rules: Rules) -> Column:
-    """True for a line that a rule removes; lines without a word never fail."""
+def line_fails(line: Column, after: Column, rules: Rules) -> Column:
+    """True for a line that a rule removes; lines without a word never fail. after: the next line, null at the end."""
     escaped = lambda characters: "".join("\\" + c for c in dict.fromkeys(characters))
     marked = line.rlike(f"[{escaped(SYMBOLS + rules.navigation_marks)}]")  # few lines need the next two
     symbols = count_of(line, SYMBOLS) > F.lit(rules.max_symbol_share) * letters(line)
     marks = escaped(rules.navigation_marks)
     navigation = line.rlike(f"^(?:[^{marks}]*+[{marks}]){{{rules.min_navigation_marks}}}")
     long = line.rlike(r"^(?:[\x20\x09-\x0D]*+[^\x20\x09-\x0D]++){%d}" % rules.unpunctuated_words)
-    unended = ~F.substring(line, -64, 64).rlike(rules.sentence_end) & long
+    unended = ~line.rlike(rules.sentence_end) & long & ~F.coalesce(after.rlike(rules.goes_on), F.lit(False))
     return ((marked & (symbols | navigation)) | unended | line.rlike(rules.boilerplate)) & line.rlike(WORD)
 
 
@@ -106,7 +120,7 @@ def line_facts(text: Column, rules: Rules) -> Column:
         with_word = let(F.filter(lines, lambda x: x.rlike(WORD)), lambda x: F.size(x) - F.size(F.array_distinct(x)))
         return F.struct(with_word.cast("long").alias("n_dup_lines"), cleaned.alias("clean_text"), (F.size(lines) - F.size(left)).cast("long").alias("removed_lines"))
 
-    return let(F.split(text, "\n", -1), lambda lines: let(F.filter(lines, lambda x: ~line_fails(x, rules)), lambda left: facts(lines, left)))
+    return let(F.split(text, "\n", -1), lambda lines: let(F.filter(lines, lambda x, i: ~line_fails(x, F.get(lines, i + 1), rules)), lambda left: facts(lines, left)))
 
 
 def clean(docs: DataFrame, text: str = "text", rules: Rules = Rules()) -> DataFrame:
@@ -138,7 +152,7 @@ def op7(spark, sf_dir: str) -> DataFrame:
     """The contract query over all documents."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     q = F.col("quality")
-    return clean(docs).select(
+    return clean(spread(docs)).select(
         "doc_id", *[q[c].alias(c) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "removed_lines", "left_chars", "left_words")],
         F.sha2(q["clean_text"], 256).alias("clean_sha256"),
     )
@@ -163,7 +177,7 @@ def _oracle() -> str:
     n_of = lambda x, p: f"len(regexp_extract_all({x}, {quoted(p)}))"
     fails = f"""regexp_matches(line, {quoted(WORD)}) AND (
       {n_of("line", symbols)} > {r.max_symbol_share} * {n_letters("line")} OR {n_of("line", f"[{r.navigation_marks}]")} >= {r.min_navigation_marks}
-      OR ({n_of("line", WORD)} >= {r.unpunctuated_words} AND NOT regexp_matches(right(line, 64), {quoted(r.sentence_end)})) OR regexp_matches(line, {quoted(r.boilerplate)}))"""
+      OR ({n_of("line", WORD)} >= {r.unpunctuated_words} AND NOT regexp_matches(line, {quoted(r.sentence_end)}) AND NOT coalesce(regexp_matches(after, {quoted(r.goes_on)}), false)) OR regexp_matches(line, {quoted(r.boilerplate)}))"""
     return f"""
 WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t FROM documents),
 w AS (SELECT rid, regexp_extract_all(t, {quoted(WORD)}) AS ws FROM d),
@@ -173,7 +187,8 @@ rep AS (
   SELECT rid, CAST(sum(least({WINDOW}, coalesce(nxt - i, {WINDOW}))) AS BIGINT) AS n_repeat_words
   FROM (SELECT rid, i, lead(i) OVER (PARTITION BY rid ORDER BY i) AS nxt FROM win WHERE n > 1) GROUP BY 1
 ),
-l AS (SELECT rid, generate_subscripts(s, 1) AS k, unnest(s) AS line FROM (SELECT rid, string_split(t, chr(10)) AS s FROM d)),
+s AS (SELECT rid, generate_subscripts(s, 1) AS k, unnest(s) AS line FROM (SELECT rid, string_split(t, chr(10)) AS s FROM d)),
+l AS (SELECT *, lead(line) OVER (PARTITION BY rid ORDER BY k) AS after FROM s),
 j AS (SELECT *, regexp_matches(line, {quoted(WORD)}) AS has_word, {fails} AS fails FROM l),
 c AS (
   SELECT rid, count(*) FILTER (has_word) - count(DISTINCT line) FILTER (has_word) AS n_dup_lines, count(*) FILTER (fails) AS removed_lines,
