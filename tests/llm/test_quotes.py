@@ -23,7 +23,7 @@ THREAD = [
 
 
 def test_links_order_and_own_text(spark):
-    df = rows_of(spark, THREAD).withColumns({c: F.lit("clash") for c in ("position", "conv", "at", "tie", "passages")})
+    df = rows_of(spark, THREAD)
     got = {(r.conv_id, r.turn): r for r in quote_links.link(df).collect()}
     assert quote_links.link(df).count() == len(THREAD)
     assert [got[(1, t)].position for t in range(5)] == [1, 2, 3, 4, 5] and got[(None, None)].position == 1
@@ -56,11 +56,11 @@ def test_statement_agrees_on_quotes(spark):
     """The DuckDB statement on threads that do quote (the driver's table has no quote)."""
     import duckdb
 
-    rows = [r for r in THREAD[:7] + THREAD[8:] if r[0] is not None]
+    rows = [*THREAD, *NULLS]
     rows += [(5, 0, "u", "One line.\n\nTwo > not a quote."), (5, 1, "a", "  > One line.\nLe 3 mai B a écrit :\n>\n> Two > not a quote.\nfin"), (6, 0, "u", "> \n>> Yes indeed\n"), (6, 3, "u", "> unknown words\nx")]
     frame = rows_of(spark, rows)
     con = duckdb.connect()
-    con.register("conversations", frame.toPandas())
+    con.register("conversations", frame.toArrow())
     want = con.sql(quote_links.ORACLE_OP3)
     names = sorted(want.columns)
     at = [want.columns.index(c) for c in names]
@@ -87,6 +87,35 @@ def test_query_matches_plain_version(spark):
         assert r.own_sha256 == hashlib.sha256((source[(r.conv_id, r.turn)].text or "").encode()).hexdigest()
 
 
+def test_columns_of_any_name_are_kept(spark):
+    """Columns with the names of outputs and of every intermediate value."""
+    clash = ["position", "reply_turn", "source", "previous", "answers", "conv_", "at_", "conv_null", "at_null", "conv", "at", "tie", "passages", "own_text", "m", "body", "with.dot", "h", "k"]
+    plain = quote_links.link(rows_of(spark, THREAD))
+    df = rows_of(spark, THREAD).withColumns({c: F.lit(f"kept {c}") for c in clash})
+    out = quote_links.link(df)
+    assert out.columns[: 4 + len(clash)] == df.columns and len(set(out.columns)) == len(out.columns)
+    rows = out.collect()
+    assert len(rows) == len(THREAD) and all(r[c] == f"kept {c}" for r in rows for c in clash)
+    made = plain.columns[4:]
+    assert sorted((str(tuple(r)[4 + len(clash) :]) for r in rows)) == sorted(str(tuple(r[c] for c in made)) for r in plain.collect())
+
+
+def test_an_original_elsewhere_counts_whatever_the_own_conversation_holds(spark):
+    """The asking conversation says the passage later, or the asking message says it itself."""
+    later = [(1, 0, "u", "> The passage P.\nask"), (1, 5, "u", "The passage P."), (2, 0, "u", "The passage P.")]
+    itself = [(1, 0, "u", "> The passage P.\nThe passage P."), (2, 0, "u", "The passage P.")]
+    for rows in (later, itself):
+        got = {(r.conv_id, r.turn): r for r in quote_links.link(rows_of(spark, rows)).collect()}[(1, 0)]
+        assert (got.n_linked, got.quoted_conv, got.quoted_turn) == (1, 2, 0)
+
+
+NULLS = [
+    (5, 0, "u", "> The passage of nine.\nask"), (5, 3, "u", "The passage of nine."), (9, 0, "u", "The passage of nine."), (12, 0, "u", "The passage of nine."),
+    (7, None, "u", "Before all."), (7, 0, "u", "between"), (7, 1, "u", "> Before all.\nyes"),
+    (None, 0, "u", "> of nobody\nx"), (None, 2, "u", "of nobody"), (13, 4, "u", "of nobody"), (14, 0, "u", "> of nobody\ny"),
+]
+
+
 def test_own_conversation_does_not_hide_another_and_null_turns_come_first(spark):
     rows = [
         (5, 0, "u", "> The passage of nine.\nask"), (5, 3, "u", "The passage of nine."), (9, 0, "u", "The passage of nine."), (12, 0, "u", "The passage of nine."),

@@ -13,8 +13,9 @@ may be of any length.
 
 Defined cases: null text is empty and has no passage; a null conversation is one conversation; a null turn comes
 before all others; rows that share conversation and turn share position and reply; an earlier message is one with a
-smaller turn, or in another conversation any; passages without a word are never linked; an empty table gives an
-empty result; extra columns are kept by ``link`` unless their names clash with its own, then they are dropped.
+smaller turn, or in another conversation any; of several originals the message's own conversation comes first, then the
+least conversation and turn; passages without a word are never linked; an empty table gives an empty result; all columns
+of the input are kept, whatever their names: an output whose name is taken gets underscores appended.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import WORD, join_checked, parallelism, staged, text_of
+from .common import WORD, free_name, join_checked, parallelism, staged
 from .line_quality import let
 
 MARKS = r"^((?:[ \t]*>)+)[ \t]?"
@@ -101,10 +102,13 @@ def link(messages: DataFrame, conv_id: str = "conv_id", turn: str = "turn", text
     reply_turn: the latest message of the conversation whose passage is quoted at the first level, else the
     message before. quoted_conv and quoted_turn: the original of the first linked passage, wherever it is.
     """
-    made = ["own_text", "passages", "position", "reply_turn", "quoted_conv", "quoted_turn", "n_quoted", "n_linked", "deepest", "conv", "at", "tie"]
-    rows = messages.drop(*[c for c in messages.columns if c in made and c not in (conv_id, turn, text)])
-    rows = rows.withColumns({"conv": F.col(conv_id).cast("long"), "at": F.col(turn).cast("long"), "tie": F.xxhash64(text_of(text))})
-    rows = rows.withColumn("passages", passages(text_of(text)))
+    quoted_name = lambda c: F.col("`" + c.replace("`", "``") + "`")
+    # the message's own columns travel in one struct, so that no name of theirs meets one of ours
+    rows = messages.select(
+        F.struct(*map(quoted_name, messages.columns)).alias("m"), quoted_name(conv_id).cast("long").alias("conv"), quoted_name(turn).cast("long").alias("at"),
+        F.coalesce(quoted_name(text).cast("string"), F.lit("")).alias("body"),
+    )
+    rows = rows.withColumn("tie", F.xxhash64("body")).withColumn("passages", passages(F.col("body"))).drop("body")
     rows = rows.withColumn("own_text", own_text(F.col("passages")))
     quoted = F.filter("passages", lambda p: (p["level"] > 0) & p["body"].rlike(WORD))
     # quoted passages of distinct messages, with the hashes by which each may be found
@@ -147,10 +151,12 @@ def link(messages: DataFrame, conv_id: str = "conv_id", turn: str = "turn", text
     rows = rows.withColumns(keys).join(ranks, list(keys), "left")
     replies = replies.withColumns(keys).drop("conv", "at")
     rows = join_checked(rows, replies, [*keys, "tie"], "left")
-    return rows.withColumns({
-        "reply_turn": F.when(F.col("answers").isNotNull(), F.col("answers.t")).otherwise(F.col("previous")), "quoted_conv": F.col("source.c"), "quoted_turn": F.col("source.t"), "n_quoted": F.size(quoted).cast("long"),
-        "n_linked": F.coalesce("n_linked", F.lit(0)).cast("long"), "deepest": F.array_max(F.transform("passages", lambda p: p["level"])).cast("long"),
-    }).drop(*keys, "conv", "at", "tie", "answers", "source", "previous")
+    made = {
+        "own_text": F.col("own_text"), "passages": F.col("passages"), "position": F.col("position"),
+        "reply_turn": F.when(F.col("answers").isNotNull(), F.col("answers.t")).otherwise(F.col("previous")), "quoted_conv": F.col("source.c"), "quoted_turn": F.col("source.t"),
+        "n_quoted": F.size(quoted).cast("long"), "n_linked": F.coalesce("n_linked", F.lit(0)).cast("long"), "deepest": F.array_max(F.transform("passages", lambda p: p["level"])).cast("long"),
+    }
+    return rows.select("m.*", *[value.alias(free_name(messages, name)) for name, value in made.items()])
 
 
 def op3(spark, sf_dir: str) -> DataFrame:
@@ -174,32 +180,37 @@ g AS (SELECT *, sum(begins) OVER (PARTITION BY rid ORDER BY k) AS p FROM e),
 parts AS (SELECT rid, p, min(level) AS level, string_agg(body, chr(10) ORDER BY k) AS body FROM g GROUP BY 1, 2),
 facts AS (SELECT rid, max(level) AS deepest, count(*) FILTER (level > 0 AND {has_word("body")}) AS n_quoted FROM parts GROUP BY 1),
 own AS (
-  SELECT m.rid, CASE WHEN deepest = 0 THEN t ELSE coalesce(trim((SELECT string_agg(body, chr(10) ORDER BY k) FROM v WHERE v.rid = m.rid AND level = 0 AND NOT regexp_matches(body, {quoted(ANNOUNCES)})), chr(32) || chr(9) || chr(10) || chr(13)), '') END AS own
+  SELECT m.rid, CASE WHEN deepest = 0 THEN t ELSE coalesce(trim((SELECT string_agg(body, chr(10) ORDER BY k) FROM v WHERE v.rid = m.rid AND level = 0 AND NOT regexp_matches(body, {quoted(ANNOUNCES)})), chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), '') END AS own
   FROM m JOIN facts USING (rid)
 ),
 source AS (
   SELECT DISTINCT conv_id, turn, md5({normal_sql("x")}) AS h FROM (
     SELECT conv_id, turn, own AS x FROM m JOIN own USING (rid) UNION ALL SELECT conv_id, turn, unnest(string_split(own, chr(10))) AS x FROM m JOIN own USING (rid)) WHERE {has_word("x")}
 ),
-here AS (SELECT h, conv_id, min(turn) AS there FROM source GROUP BY 1, 2),
-anywhere AS (SELECT h, min(struct_pack(c := conv_id, t := there)) AS first FROM here GROUP BY 1),
 q AS (SELECT rid, p, level, body FROM parts WHERE level > 0 AND {has_word("body")}),
 asked AS (
   SELECT rid, p, level, 0 AS part, md5({normal_sql("body")}) AS h FROM q UNION ALL
   SELECT rid, p, level, 1 AS part, md5({normal_sql("x")}) AS h FROM (SELECT rid, p, level, unnest(string_split(body, chr(10))) AS x FROM q) WHERE {has_word("x")}
 ),
+near AS (
+  SELECT a.rid, a.p, a.level, a.part AS rank, o.conv_id AS c, o.turn AS t FROM asked a JOIN m USING (rid) JOIN source o ON o.h = a.h AND o.conv_id IS NOT DISTINCT FROM m.conv_id
+  WHERE o.turn < m.turn OR (o.turn IS NULL AND m.turn IS NOT NULL)
+),
+far AS (
+  SELECT a.rid, a.p, a.level, a.part + 2 AS rank, o.conv_id AS c, o.turn AS t FROM asked a JOIN m USING (rid) JOIN source o ON o.h = a.h AND o.conv_id IS DISTINCT FROM m.conv_id
+),
 found AS (
-  SELECT a.rid, a.p, a.level, min(CASE WHEN n.there IS NOT NULL THEN struct_pack(rank := part, c := m.conv_id, t := n.there)
-                                       WHEN x.first.c <> m.conv_id THEN struct_pack(rank := part + 2, c := x.first.c, t := x.first.t) END) AS dest
-  FROM asked a JOIN m USING (rid) LEFT JOIN here n ON n.h = a.h AND n.conv_id = m.conv_id AND n.there < m.turn LEFT JOIN anywhere x ON x.h = a.h GROUP BY 1, 2, 3
+  SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY rid, p ORDER BY rank, c NULLS FIRST, t NULLS FIRST) AS choice FROM (SELECT * FROM near UNION ALL SELECT * FROM far)) WHERE choice = 1
 ),
 replies AS (
-  SELECT rid, count(dest) AS n_linked, max(dest.t) FILTER (level = 1 AND dest.rank < 2) AS answers, arg_min(dest.c, p) FILTER (dest IS NOT NULL) AS quoted_conv, arg_min(dest.t, p) FILTER (dest IS NOT NULL) AS quoted_turn
+  SELECT rid, count(*) AS n_linked, count(*) FILTER (level = 1 AND rank < 2) AS n_answers, max(t) FILTER (level = 1 AND rank < 2) AS answers,
+         min(struct_pack(p := p, c := c)).c AS quoted_conv, min(struct_pack(p := p, t := t)).t AS quoted_turn
   FROM found GROUP BY 1
 ),
-ranks AS (SELECT conv_id, turn, row_number() OVER w AS position, lag(turn) OVER w AS previous FROM (SELECT DISTINCT conv_id, turn FROM m) WINDOW w AS (PARTITION BY conv_id ORDER BY turn))
-SELECT m.conv_id, m.turn, m.role, position, coalesce(answers, previous) AS reply_turn, quoted_conv, quoted_turn, n_quoted, coalesce(n_linked, 0) AS n_linked, deepest, sha256(own) AS own_sha256
-FROM m JOIN facts USING (rid) JOIN own USING (rid) JOIN ranks ON ranks.conv_id = m.conv_id AND ranks.turn = m.turn LEFT JOIN replies USING (rid)
+ranks AS (SELECT conv_id, turn, row_number() OVER w AS position, lag(turn) OVER w AS previous FROM (SELECT DISTINCT conv_id, turn FROM m) WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST))
+SELECT m.conv_id, m.turn, m.role, position, CASE WHEN n_answers > 0 THEN answers ELSE previous END AS reply_turn, quoted_conv, quoted_turn, n_quoted, coalesce(n_linked, 0) AS n_linked, deepest,
+       sha256(own) AS own_sha256
+FROM m JOIN facts USING (rid) JOIN own USING (rid) JOIN ranks ON ranks.conv_id IS NOT DISTINCT FROM m.conv_id AND ranks.turn IS NOT DISTINCT FROM m.turn LEFT JOIN replies USING (rid)
 """
 
 
