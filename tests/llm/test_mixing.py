@@ -3,7 +3,7 @@ import random
 
 import pytest
 
-from tidelog.llm import mixing
+from tidelog.llm import common, mixing
 
 from .helpers import awkward, docs, words
 
@@ -47,11 +47,7 @@ def test_awkward_and_reruns(spark):
 def test_many_rows_hot_source_and_epochs(spark):
     r = random.Random(2)
     rows = [(i, "w " * r.randint(0, 40), "en", "hot" if i % 3 else f"s{r.randint(0, 6)}", 1, "q", "x", 1) for i in range(6000)]
-    old, mixing.RANGE_ROWS = mixing.RANGE_ROWS, 50
-    try:
-        check(spark, rows)
-    finally:
-        mixing.RANGE_ROWS = old
+    check(spark, rows)
 
 
 def test_empty_and_wordless(spark):
@@ -70,3 +66,42 @@ def test_stage_repeats_and_cuts(spark):
         taken[r.doc_id] += len(words(r.text))
         assert r.text in rows[r.doc_id][1] and r.n_chars == len(r.text)
     assert {i: n for i, n in taken.items()} == {i: r.taken for i, r in plan.items() if r.taken}
+
+
+def test_repeated_and_null_ids_take_the_exact_budget(spark):
+    """Groups of rows that nothing tells apart, some with the cut among them: shares by row, and the stage's words, meet each source's target."""
+    r = random.Random(4)
+    rows = [(1, "one two three four " * 5, "en", "a", 1, "q", "x", 1)] * 100 + [(None, "five six seven " * 6, None, "b", None, None, "x", 1)] * 100
+    rows += [(2, "w " * 40, "en", None, 1, "q", "x", k) for k in range(50)] + [(3, f"t{k} " * r.randint(1, 9), "en", "c", 1, "q", "x", 1) for k in range(80)] + [(4, None, "en", "a", 1, "q", "x", 1)] * 5
+    frame = docs(spark, rows).repartition(7)
+    frame.write.parquet(path := common.scratch(spark, "t"))
+    frame = spark.read.parquet(path)
+    check(spark, rows)
+    sizes = collections.Counter()
+    for _, t, _, s, *_ in rows:
+        sizes[s] += len(words(t))
+    want, taken = plain_targets(sizes), collections.Counter()
+    out = mixing.stage(spark, frame, "").collect()
+    for x in out:
+        taken[x.source] += len(words(x.text))
+    for s in sizes:
+        assert abs(taken[s] - want[s]) <= 0.5000001, s
+    assert any(0 < len(words(x.text)) < 40 for x in out) and {x.hits for x in out if x.source is None} <= set(range(50))
+
+
+def test_op5_is_the_operator_on_the_whole_table(spark):
+    """The registered query: sizes and targets by the contract, shares that meet them, the same again."""
+    sf = "/root/testdata/sf0.001"
+    source = {r.doc_id: r for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    got = mixing.op5(spark, sf).collect()
+    sizes, taken = collections.Counter(), collections.Counter()
+    for r in source.values():
+        sizes[r.source] += len(words(r.text))
+    want = plain_targets(sizes)
+    assert len(got) == len(source)
+    for r in got:
+        d = source[r.doc_id]
+        assert (r.size, r.source_size) == (len(words(d.text)), sizes[d.source]) and r.target == pytest.approx(want[d.source]) and 0 <= r.taken <= 3 * r.size
+        taken[d.source] += r.taken
+    assert all(abs(taken[s] - want[s]) <= 0.5000001 for s in sizes)
+    assert sorted(tuple(r) for r in got) == sorted(tuple(r) for r in mixing.op5(spark, sf).collect())
