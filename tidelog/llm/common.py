@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 #: The characters that part words, for translate().
 SPACES = " \t\n\x0b\x0c\r"
-#: A side of a join is broadcast only if it has been counted and has at most this many rows.
-BROADCAST_ROWS = 200_000
+#: A side of a join is broadcast only if it has been counted and its rows, by the width of their columns, have at most this many bytes.
+BROADCAST_BYTES = 16_000_000
 
 
 def session_of(df: DataFrame) -> SparkSession:
@@ -53,13 +53,19 @@ def drop_path(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
-def join_checked(left: DataFrame, right: DataFrame, on: list[str], how: str, most: int = BROADCAST_ROWS) -> DataFrame:
+def row_bytes(df: DataFrame) -> int:
+    """Bytes of a row in a broadcast table, about: Spark's width of the columns, 64 for a string or binary (digests, ids), and what holds the row."""
+    return sum(64 if f.dataType.typeName() in ("string", "binary") else df.sparkSession._jvm.org.apache.spark.sql.types.DataType.fromJson(f.dataType.json()).defaultSize() for f in df.schema.fields) + 32
+
+
+def join_checked(left: DataFrame, right: DataFrame, on: list[str], how: str) -> DataFrame:
     """Join with a staged, narrow right side: broadcast if its counted rows are few, else by shuffle.
 
     The shuffled form leaves skewed keys of the left side to adaptive skew joins; right has unique keys.
     """
+    most = BROADCAST_BYTES // row_bytes(right)
     few = right.limit(most + 1).count() <= most
-    return left.join(F.broadcast(right) if few else right, on, how)
+    return left.join(F.broadcast(right) if few else right.hint("shuffle_merge"), on, how)
 
 
 def text_of(column: str = "text") -> Column:

@@ -186,7 +186,7 @@ def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text") -
     if wanted:
         index = staged(postings(docs, wanted, text), "secret-postings")
         few = staged(candidates(index, queries, wanted), "secret-candidates").withColumnRenamed("key", "secret_key")
-        df = join_checked(df, few, ["secret_key"], "left", 500_000)
+        df = join_checked(df, few, ["secret_key"], "left")
     else:
         df = df.withColumn("hits", F.lit(0).cast("long"))
     body = text_of(text)

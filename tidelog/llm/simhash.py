@@ -212,4 +212,4 @@ def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     found = near_duplicates(docs).where("not (doc_id <=> component_id) and component_id is not null")
     gone = staged(found.select(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias(key), F.col("tie").alias(tie)).distinct(), "near-gone")
     rows = docs.withColumn(key, F.coalesce(F.col("doc_id").cast("long").cast("string"), F.lit(""))).withColumn(tie, F.xxhash64("text"))
-    return join_checked(rows, gone, [key, tie], "left_anti", 1_000_000).select(*docs.columns)
+    return join_checked(rows, gone, [key, tie], "left_anti").select(*docs.columns)
