@@ -1,17 +1,24 @@
 import hashlib
 import re
+import time
 
 from tidelog.llm import secret_index
 
 from .helpers import awkward, docs
 
 
+#: The base patterns of the contract (the word in either case of ASCII letters), the group that is judged and its least length.
+BASE = [
+    (r"""(?ai:(?:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 1, 12), (r"AKIA[A-Z0-9]+", 0, 18), (r"[0-9a-f]+", 0, 16),
+]
+
+
 def plain(t):
     t, found = t or "", []
-    for k, r in enumerate(secret_index.RULES):
-        pattern = re.compile(r.pattern)
-        for m in pattern.finditer(t):
-            if len(m[r.group]) >= r.least:
+    more = [(r.pattern, r.group, r.least) for r in secret_index.RULES[len(BASE) :]]
+    for k, (pattern, group, least) in enumerate([*BASE, *more]):
+        for m in re.finditer(pattern, t, re.A):
+            if len(m[group]) >= least:
                 found.append((m.start(), k, m.end()))
     return sorted(found)
 
@@ -26,7 +33,7 @@ CASES = [
 
 def test_matches_plain_scan(spark):
     rows = awkward(enumerate(CASES, 100))
-    got = secret_index.scan(docs(spark, rows).drop("hits")).select("doc_id", "text", "secrets").collect()
+    got = secret_index.scan(docs(spark, rows)).select("doc_id", "text", "secrets").collect()
     assert len(got) == len(rows)
     for r in got:
         assert [(s.start, s.kind, s.end) for s in r.secrets] == plain(r.text), r.text[:80]
@@ -34,9 +41,62 @@ def test_matches_plain_scan(spark):
 
 def test_rules_without_trigrams_and_empty(spark):
     rule = (secret_index.Rule("digits", "[0-9]{3}"),)
-    got = secret_index.scan(docs(spark, awkward([(77, "12 345 6789")])).drop("hits"), rule).where("doc_id = 77").collect()
+    got = secret_index.scan(docs(spark, awkward([(77, "12 345 6789")])), rule).where("doc_id = 77").collect()
     assert [(s.start, s.end) for s in got[0].secrets] == [(3, 6), (7, 10)]
-    assert secret_index.scan(docs(spark, []).drop("hits")).count() == 0
+    assert secret_index.scan(docs(spark, [])).count() == 0
+
+
+def test_columns_of_any_name_are_kept(spark):
+    frame = docs(spark, awkward(enumerate(CASES, 100))).selectExpr("*", "'a' AS secrets", "'b' AS key", "'c' AS _secret_key", "'d' AS _secret_hits", "'e' AS trigram", "'f' AS gram")
+    out = secret_index.scan(frame)
+    assert out.columns == [*frame.columns, "secrets_"]
+    for r in out.collect():
+        assert (r.secrets, r.key, r._secret_key, r._secret_hits, r.trigram, r.gram, r.hits) == ("a", "b", "c", "d", "e", "f", 1)
+        assert [(s.start, s.kind, s.end) for s in r.secrets_] == plain(r.text)
+
+
+def test_very_many_matches_in_one_text(spark):
+    """Spans of a text with thousands of matches, in time that doesn't grow with their square."""
+    text = "".join(f"{i:016x}é " for i in range(20_000)) + "token=abcdefghijklmnop"
+    began = time.perf_counter()
+    got = secret_index.scan(spark.createDataFrame([(1, text)], "doc_id long, text string")).first().secrets
+    assert [tuple(s) for s in got] == plain(text) and len(got) == 20_001
+    assert time.perf_counter() - began < 60
+
+
+def test_running_sums(spark):
+    for n in (0, 1, 2, 3, 4, 5, 8, 9, 10, 17, 100, 101):
+        row = spark.createDataFrame([([*range(1, n + 1)],)], "a array<bigint>").select(secret_index.running(F.col("a")).alias("s")).first()
+        assert row.s == [k * (k + 1) // 2 for k in range(n)]
+
+
+def test_tree_of_words_finds_each_at_every_place():
+    import random
+
+    r = random.Random(1)
+    words = sorted({"".join(r.choices("abcdefg_-. ]^\\k", k=3)) for _ in range(60)})
+    pattern = re.compile(f"(?=({secret_index.any_of(words)}))")
+    text = "".join(r.choices("abcdefg_-. ]^\\kxy", k=5000))
+    assert [(m.start(), m[1]) for m in pattern.finditer(text)] == [(i, text[i : i + 3]) for i in range(len(text) - 2) if text[i : i + 3] in words]
+
+
+def test_statement_agrees_and_op9_is_the_operator_on_the_whole_table(spark):
+    import duckdb
+
+    sf = "/root/testdata/sf0.001"
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{sf}/documents.parquet'")
+    want = con.sql(secret_index.ORACLE_OP9)
+    names = sorted(want.columns)
+    at = [want.columns.index(c) for c in names]
+    got = secret_index.op9(spark, sf).select(*names).collect()
+    assert sorted(tuple(r) for r in got) == sorted(tuple(r[i] for i in at) for r in want.fetchall())
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    names = [r.kind for r in secret_index.RULES]
+    for r in got:
+        spans = plain(texts[r.doc_id])
+        text = lambda spans: ",".join(f"{names[k]}:{a}:{b}" for a, k, b in spans)
+        assert r.spans == text(spans) and r.base_sha256 == hashlib.sha256(text([x for x in spans if x[1] < 3]).encode()).hexdigest()
 
 
 def holds(query, grams):

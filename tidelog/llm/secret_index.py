@@ -8,12 +8,14 @@ evaluated on the bits, and only candidates run the rule's expression over the wh
 mandatory trigram scan every text. Two texts that share a hash can only add candidates, never lose one.
 
 Defined cases: null is the empty text, which has no span; repeated rows each get their result; ids may be
-null or tie; an empty table gives an empty result; extra columns are ignored. Offsets count code points.
+null or tie; an empty table gives an empty result; extra columns are kept, whatever their names, and the result's column gets
+underscores where its name is taken. Offsets count code points. Work grows with a text's length, and with its matches to the power of one and a half.
 """
 
 from __future__ import annotations
 
 import itertools
+import re
 from dataclasses import dataclass
 from functools import reduce
 from re import _constants as sre
@@ -22,7 +24,7 @@ from re import _parser as sre_parser
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import join_checked, staged, text_of
+from .common import free_name, join_checked, spread, staged, text_of
 
 
 @dataclass(frozen=True)
@@ -127,17 +129,39 @@ def _join(how: str, parts: list) -> object:
     return True if not parts else parts[0] if len(parts) == 1 else (how, parts)
 
 
+def let(value: Column, body) -> Column:
+    """body(value) with value computed once."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
 def trigrams_of(query) -> set[str]:
     if query is True:
         return set()
     return {query} if isinstance(query, str) else set().union(*map(trigrams_of, query[1]))
 
 
+def any_of(words: list[str]) -> str:
+    """A regular expression for any of the words, as a tree of their letters, so that a place is turned down after a few comparisons."""
+    quoted = lambda text: re.sub(r"([^A-Za-z0-9])", r"\\\1", text)
+    one_of = lambda letters: "[" + "".join(map(quoted, letters)) + "]"
+    rest = {c: sorted(w[1:] for w in words if w[0] == c) for c in sorted({w[0] for w in words})}
+    if not any(any(tails) for tails in rest.values()):
+        return one_of(rest)
+    branch = lambda c: quoted(c) + (any_of(rest[c]) if any(rest[c]) else "")
+    letters = list(rest)
+    if len(letters) <= 4:
+        return "(?:" + "|".join(map(branch, letters)) + ")"
+    width = -(-len(letters) // 4)
+    parts = [letters[i : i + width] for i in range(0, len(letters), width)]
+    return "(?:" + "|".join(f"(?={one_of(part)})(?:{'|'.join(map(branch, part))})" for part in parts) + ")"
+
+
 def postings(docs: DataFrame, wanted: list[str], text: str = "text") -> DataFrame:
-    """The inverted index: (trigram, key) for each of the wanted trigrams that a text contains."""
-    low = docs.select(F.xxhash64(text_of(text)).alias("key"), F.lower(text_of(text)).alias("low"))
-    found = F.array_compact(F.array(*[F.when(F.contains("low", F.lit(t)), F.lit(i)) for i, t in enumerate(wanted)]))
-    return low.select("key", found.alias("found")).select("key", F.explode("found").alias("trigram"))
+    """The inverted index: (trigram, key) for each of the wanted trigrams (by number) that a text contains; one pass over a text finds all."""
+    body = text_of(text)
+    found = F.array_distinct(F.regexp_extract_all(F.lower(body), F.lit(f"(?=({any_of(wanted)}))"), F.lit(1)))
+    number = F.array_position(F.array(*map(F.lit, wanted)), F.col("gram")) - 1
+    return docs.select(F.xxhash64(body).alias("key"), F.explode(found).alias("gram")).select("key", number.cast("int").alias("trigram"))
 
 
 def candidates(index: DataFrame, queries: list, wanted: list[str]) -> DataFrame:
@@ -159,42 +183,60 @@ def candidates(index: DataFrame, queries: list, wanted: list[str]) -> DataFrame:
     return index.groupBy("key").agg(*bits).select("key", hits.cast("long").alias("hits")).where("hits != 0")
 
 
+def running(numbers: Column) -> Column:
+    """For each number of an array the sum of those before it. Appending copies, so sums go by blocks of the square root of the length."""
+    zero = F.array(F.lit(0).cast("long"))
+
+    def sums(values: Column, start: Column) -> Column:
+        return F.aggregate(values, F.array(start), lambda acc, x: F.concat(acc, F.array(F.element_at(acc, -1) + x)))
+
+    def by_blocks(values: Column, width: Column) -> Column:
+        blocks = F.transform(F.sequence(F.lit(1), F.size(values), width), lambda i: F.slice(values, i, width))
+
+        def joined(blocks: Column) -> Column:
+            totals = F.transform(blocks, lambda b: F.aggregate(b, F.lit(0).cast("long"), lambda acc, x: acc + x))
+            # sums() gives one entry more than it has numbers
+            own = lambda b, start: F.slice(sums(b, start), 1, F.size(b))
+            return F.flatten(let(sums(totals, F.lit(0).cast("long")), lambda starts: F.transform(blocks, lambda b, i: own(b, F.get(starts, i)))))
+
+        return let(blocks, joined)
+
+    return F.when(F.size(numbers) == 0, F.slice(zero, 1, 0)).otherwise(let(numbers, lambda values: by_blocks(values, F.ceil(F.sqrt(F.size(values))).cast("int"))))
+
+
 def spans_of(text: Column, rule: Rule, kind: int) -> Column:
     """The rule's matches in order as (start, kind, end): pieces between matches and matches are summed up."""
     pattern = F.lit(rule.pattern)
     whole = F.regexp_extract_all(text, pattern, F.lit(0))
     judged = whole if rule.group == 0 else F.regexp_extract_all(text, pattern, F.lit(rule.group))
-    pairs = F.arrays_zip(F.split(text, rule.pattern, -1).alias("piece"), whole.alias("whole"), judged.alias("judged"))
-    none = F.array().cast("array<struct<start:int,kind:int,end:int>>")
-
-    def step(acc, x):
-        start = acc["pos"] + F.length(x["piece"])
-        end = start + F.coalesce(F.length(x["whole"]), F.lit(0))
-        stays = F.coalesce(F.length(x["judged"]) >= rule.least, F.lit(False))
-        one = F.array(F.struct(start.alias("start"), F.lit(kind).alias("kind"), end.alias("end")))
-        return F.struct(end.alias("pos"), F.when(stays, F.concat(acc["out"], one)).otherwise(acc["out"]).alias("out"))
-
-    return F.aggregate(pairs, F.struct(F.lit(0).alias("pos"), none.alias("out")), step, lambda acc: acc["out"])
+    pieces = F.split(text, rule.pattern, -1)
+    pairs = F.zip_with(pieces, whole, lambda piece, match: F.array(F.length(piece).cast("long"), F.length(match).cast("long")))
+    places = running(F.filter(F.flatten(pairs), lambda n: n.isNotNull()))  # piece, match, piece, match, ..., piece
+    span = lambda at: F.transform(judged, lambda j, i: F.when(
+        F.length(j) >= rule.least, F.struct(F.get(at, 2 * i + 1).cast("int").alias("start"), F.lit(kind).alias("kind"), F.get(at, 2 * i + 2).cast("int").alias("end")),
+    ))
+    return let(places, lambda at: F.array_compact(span(at)))
 
 
 def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text") -> DataFrame:
-    """docs with ``secrets``: array of (start, kind, end) by start, then by the rules' order. The column name must be free."""
+    """docs with one more column, free_name(docs, "secrets"): array of (start, kind, end) by start, then by the rules' order."""
     queries = [trigram_query(r.pattern) for r in rules]
     wanted = sorted(set().union(*map(trigrams_of, queries)))
     none = F.array().cast("array<struct<start:int,kind:int,end:int>>")
-    df = docs.withColumn("secret_key", F.xxhash64(text_of(text)))
+    key, hits, out = (free_name(docs, x) for x in ("_secret_key", "_secret_hits", "secrets"))
+    df = docs.withColumn(key, F.xxhash64(text_of(text)))
     if wanted:
         index = staged(postings(docs, wanted, text), "secret-postings")
-        few = staged(candidates(index, queries, wanted), "secret-candidates").withColumnRenamed("key", "secret_key")
-        df = join_checked(df, few, ["secret_key"], "left")
+        few = staged(candidates(index, queries, wanted), "secret-candidates")
+        df = join_checked(df, few.select(F.col("key").alias(key), F.col("hits").alias(hits)), [key], "left")
     else:
-        df = df.withColumn("hits", F.lit(0).cast("long"))
+        df = df.withColumn(hits, F.lit(0).cast("long"))
     body = text_of(text)
     found = []
     for i, (rule, query) in enumerate(zip(rules, queries)):
-        may = body.rlike(rule.pattern) if query is True else F.coalesce(F.col("hits").bitwiseAND(F.lit(1 << i)) != 0, F.lit(False))
+        may = body.rlike(rule.pattern) if query is True else F.coalesce(F.col(hits).bitwiseAND(F.lit(1 << i)) != 0, F.lit(False))
         found.append(F.when(may, spans_of(body, rule, i)).otherwise(none))
-    return df.withColumn("secrets", F.sort_array(F.concat(*found))).drop("secret_key", "hits")
+    return df.withColumn(out, F.sort_array(F.concat(*found))).drop(key, hits)
 
 
 def written(spans: Column, rules: tuple[Rule, ...] = RULES) -> Column:
@@ -204,7 +246,7 @@ def written(spans: Column, rules: tuple[Rule, ...] = RULES) -> Column:
 
 def op9(spark, sf_dir: str) -> DataFrame:
     """The contract query over all documents."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    docs = spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
     found = scan(docs).select("doc_id", "secrets")
     n_base = sum(r.base for r in RULES)
     count = lambda k: F.size(F.filter("secrets", lambda s: s["kind"] == k)).cast("long")
