@@ -56,3 +56,29 @@ def test_stage_keeps_one_of_a_group(spark):
     assert kept.columns == docs(spark, rows).columns
     ids = [r.doc_id for r in kept.collect()]
     assert 1 in ids and 2 not in ids and 3 not in ids
+    prints = [fingerprint(t) for _, t, *_ in rows]
+    root = plain_components(len(rows), lambda i, j: bin(prints[i] ^ prints[j]).count("1") <= 4)
+    assert len(ids) == len(set(root))  # repeated rows, ties and null ids too
+
+
+def test_hubs_are_joined_apart(spark, monkeypatch):
+    """A star, a path and pairs, where no table of minima may be broadcast whole and nodes of more than three links are hubs."""
+    monkeypatch.setattr(components, "HUB", 3)
+    fits = components.size_fits
+    monkeypatch.setattr(components, "size_fits", lambda df: "n" not in df.columns and fits(df))
+    links = [(7, 100 + i) for i in range(60)] + [(i, i + 1) for i in range(300, 340)] + [(500, 501), (7, 3)]
+    found = {r.node: r.root for r in components.components(spark.createDataFrame(links, "a long, b long").repartition(9)).collect()}
+    assert found == {**{100 + i: 3 for i in range(60)}, 7: 3, **{i: 300 for i in range(301, 341)}, 501: 500}
+
+
+def test_op4_is_the_operator_on_the_whole_table_and_links_every_near_pair(spark):
+    """The registered query against all pairs of fingerprints; recall of pairs within four bits is whole."""
+    sf = "/root/testdata/sf0.001"
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    got = {r.doc_id: r for r in simhash.op4(spark, sf).collect()}
+    assert set(got) == set(texts)
+    ids = sorted(texts)
+    prints = [fingerprint(texts[i]) for i in ids]
+    root = plain_components(len(ids), lambda i, j: bin(prints[i] ^ prints[j]).count("1") <= 4)
+    assert [got[i].fingerprint for i in ids] == [f"{p:016x}" for p in prints]
+    assert [got[i].component_id for i in ids] == [ids[r] for r in root]

@@ -58,20 +58,29 @@ def row_bytes(df: DataFrame) -> int:
     return sum(64 if f.dataType.typeName() in ("string", "binary") else df.sparkSession._jvm.org.apache.spark.sql.types.DataType.fromJson(f.dataType.json()).defaultSize() for f in df.schema.fields) + 32
 
 
+def size_fits(df: DataFrame) -> bool:
+    """Whether a staged table has few enough rows to be broadcast."""
+    most = BROADCAST_BYTES // row_bytes(df)
+    return df.limit(most + 1).count() <= most
+
+
 def join_checked(left: DataFrame, right: DataFrame, on: list[str], how: str) -> DataFrame:
     """Join with a staged, narrow right side: broadcast if its counted rows are few, else by shuffle.
 
     The shuffled form leaves skewed keys of the left side to adaptive skew joins; right has unique keys.
     """
-    most = BROADCAST_BYTES // row_bytes(right)
-    few = right.limit(most + 1).count() <= most
-    return left.join(F.broadcast(right) if few else right.hint("shuffle_merge"), on, how)
+    return left.join(F.broadcast(right) if size_fits(right) else right.hint("shuffle_merge"), on, how)
 
 
 def text_of(column: str = "text") -> Column:
     return F.coalesce(F.col(column), F.lit(""))
 
 
+def ident(doc_id: Column) -> Column:
+    """A whole-number id as a string that a null id has too, to join by."""
+    return F.coalesce(F.concat(F.lit("="), doc_id.cast("long").cast("string")), F.lit(""))
+
+
 def free_name(df: DataFrame, stem: str) -> str:
     """A column name that df doesn't have, whatever its columns are called."""
     taken = {c.lower() for c in df.columns}

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACES, free_name, join_checked, scratch, spread, staged, text_of
+from .common import SPACES, free_name, ident, join_checked, scratch, spread, staged, text_of
 
 #: Keys, and bytes of entries, that a bucket holds before it splits.
 CAPACITY = 2_000
@@ -208,7 +208,6 @@ def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     Rows that agree in id, length and text without white space are told apart by nothing that counts; one of each such set stays.
     """
     like = [free_name(docs, x) for x in ("_id", "_sha", "_cp")]
-    ident = lambda c: F.coalesce(F.concat(F.lit("="), c.cast("long").cast("string")), F.lit(""))
     found = judged(docs).where("group_size > 1")
     sets = staged(
         found.groupBy(ident(F.col("doc_id")).alias(like[0]), F.col("sha").alias(like[1]), F.col("n_cp").alias(like[2])).agg(F.max("kept").alias("stays"), F.count("*").alias("n")), "dedup-found"

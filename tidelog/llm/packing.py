@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import join_checked, staged
+from .common import join_checked, spread, staged
 
 END_ID = 2
 
@@ -222,7 +222,7 @@ def pack(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", vocabul
 
 def op2(spark, sf_dir: str) -> DataFrame:
     """The contract query over all documents."""
-    return pack(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("task", "row")
+    return pack(spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))).drop("task", "row")
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:

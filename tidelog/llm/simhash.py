@@ -27,8 +27,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_path, free_name, join_checked, parallelism, scratch, staged
-from .components import LINKS, components, forest
+from .common import drop_path, free_name, ident, join_checked, parallelism, scratch, spread, staged
+from .components import LINKS, components, forest, joined
 
 SHINGLE = 4
 SEED = 42
@@ -184,7 +184,7 @@ def links(prints: DataFrame, radius: int = RADIUS, class_variants: int = CLASS_V
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", radius: int = RADIUS) -> DataFrame:
-    """One row per row of docs: doc_id, tie (a hash of the text), print (signed 64-bit fingerprint), component_id."""
+    """One row per row of docs: doc_id, tie (a hash of the text), print (signed 64-bit fingerprint), root (a number of the component), component_id."""
     spark = docs.sparkSession
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(text).alias("tie"), F.col(text).alias("text"))
     prints = staged(rows.mapInArrow(_prints, "doc_id long, tie long, print long"), "prints")
@@ -193,23 +193,34 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     links(nodes, radius).write.parquet(path)
     rooted = components(spark.read.schema(LINKS).parquet(path))
     # the least id of each component, folded over its fingerprints
-    labelled = nodes.join(rooted.withColumnRenamed("node", "print"), "print", "left").withColumn("root", F.coalesce("root", "print"))
-    least = labelled.groupBy("root").agg(F.min("low").alias("component_id"))
-    labels = staged(labelled.join(least, "root").select("print", "component_id"), "print-labels")
+    labelled = staged(join_checked(nodes, staged(rooted.withColumnRenamed("node", "print"), "print-roots"), ["print"], "left").withColumn("root", F.coalesce("root", "print")), "print-labelled")
+    least = staged(labelled.groupBy("root").agg(F.min("low").alias("component_id"), F.count("*").alias("n")), "print-components")
+    labels = staged(joined(labelled, least, "root").select("print", "root", "component_id"), "print-labels")
     drop_path(spark, path)
-    return prints.join(labels, "print").select("doc_id", "tie", "print", "component_id")
+    return join_checked(prints, labels, ["print"], "inner").select("doc_id", "tie", "print", "root", "component_id")
 
 
 def op4(spark, sf_dir: str) -> DataFrame:
     """The contract query over all documents."""
-    found = near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    found = near_duplicates(spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")))
     return found.select("doc_id", F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: of each component the rows with the least id stay; that is one row where ids are unique."""
-    key, tie = free_name(docs, "_id"), free_name(docs, "_tie")
-    found = near_duplicates(docs).where("not (doc_id <=> component_id) and component_id is not null")
-    gone = staged(found.select(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias(key), F.col("tie").alias(tie)).distinct(), "near-gone")
-    rows = docs.withColumn(key, F.coalesce(F.col("doc_id").cast("long").cast("string"), F.lit(""))).withColumn(tie, F.xxhash64("text"))
-    return join_checked(rows, gone, [key, tie], "left_anti").select(*docs.columns)
+    """Pipeline stage: of each component one row stays, the one with the least id (null last) and, of those, the least hash of its text.
+
+    Rows that agree in id and text are told apart by nothing that counts; one of them stays.
+    """
+    like = [free_name(docs, x) for x in ("_id", "_tie")]
+    found = near_duplicates(docs).select("doc_id", "tie", "root")
+    order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "tie")
+    best = staged(found.groupBy("root").agg(F.min(order).alias("best"), F.count("*").alias("n")).where("n > 1"), "near-best")
+    several = joined(found, best, "root").withColumn("stays", order == F.col("best"))
+    sets = staged(several.groupBy(ident(F.col("doc_id")).alias(like[0]), F.col("tie").alias(like[1])).agg(F.max("stays").alias("stays"), F.count("*").alias("n")), "near-found")
+    rows = docs.withColumns({like[0]: ident(F.col("doc_id")), like[1]: F.xxhash64("text")})
+    rows = join_checked(rows, sets.where("not stays").select(*like), like, "left_anti")
+    repeated = sets.where("stays and n > 1").select(*like)
+    if not repeated.isEmpty():
+        some = join_checked(rows, repeated, like, "left_semi").dropDuplicates(like)
+        rows = join_checked(rows, repeated, like, "left_anti").unionByName(some)
+    return rows.select(*docs.columns)
