@@ -8,14 +8,18 @@ none of the others:
    messages to, so nothing is kept on the driver and no step needs all of a group.
 2. A string's anchor is the leftmost of its ANCHOR-byte substrings with the least hash. Equal strings have equal
    anchors, so a string whose anchor occurs once in the corpus is unique. Chunks send their distinct
-   anchor hashes to hash shards, which answer with those that occur again.
-3. For anchors that occur again, chunks send the context that the strings around them span, once for each
+   anchor hashes to hash shards. A shard sorts those of the batch, merge-scans them against the levels of earlier batches, which are
+   stored files, answers the chunks with those that occur again, and merges levels of equal size.
+3. For anchors that occur again, chunks give the context that the strings around them span, once for each
    distinct context and chunk. Anchors found very often (a common line) are passed over where the string has
-   another, so that their contexts spread over the shards of rarer anchors. The table of those has a fixed bound.
-4. A shard receives contexts in batches. Each batch gets a suffix array (its strings in byte order); it is
-   merge-scanned against the shard's levels, marking strings that two places have; and equal-sized levels merge.
-   The levels a family holds are 1, 2, 4, ... batches, so a string is merged O(log n) times.
-5. Marks return to the chunks, which drop the bytes that marked strings cover.
+   another, so that their contexts spread over the shards of rarer anchors. The table of those has a fixed bound. Equal
+   contexts are folded to a count before they are dealt, by the tasks that found them first, so a hot passage is one row a task.
+4. A shard receives distinct contexts. Batches of them get suffix arrays: the places of their strings in the bytes, in the strings' order. Each
+   is merge-scanned against the shard's levels, marking strings that two places have; levels of equal size merge, block by block,
+   without copying the strings. The levels are of 1, 2, 4, ... batches, so a place is merged O(log n) times.
+5. Contexts get their marks back by a join, and chunks drop the bytes that marked strings cover.
+
+A stored ``Family`` takes further batches: what they repeat of earlier ones, and the reverse, is found without reading chunks that share no anchor.
 
 Defined cases: null is empty; texts shorter than LENGTH lose nothing; equal texts of LENGTH bytes or more lose
 everything; matches never cross documents; repeated rows match each other; ids may be null or tie; an
@@ -25,15 +29,16 @@ empty table gives an empty result; extra columns are ignored; lone surrogates ar
 from __future__ import annotations
 
 import hashlib
+import json
 
 import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import scratch
+from .common import drop_path, join_checked, scratch, spread, staged
 
 LENGTH = 200
 ANCHOR = 64
@@ -46,10 +51,13 @@ COMMON = 2_000
 MOST_COMMON = 1 << 20
 #: Bytes of text for each anchor, about.
 ANCHOR_BYTES = (LENGTH - ANCHOR + 1) // 2
-#: Strings in one batch of a family.
+#: Strings in one batch of a shard's suffix arrays, and in a block of a merge.
 BATCH_STRINGS = 1 << 15
 
 MESSAGE = "chunk long, kind int, number long, data binary"
+ASKED = "shard long, chunk long, kind int, data binary"
+CONTEXT = "chunk long, h long, digest binary, text binary, places binary"
+REPLY = "h long, digest binary, size long, bits binary"
 _U = np.uint64
 _TOP = _U(0xFFFFFFFFFFFFFFFF)
 
@@ -57,9 +65,16 @@ _TOP = _U(0xFFFFFFFFFFFFFFFF)
 # ---- chunks ----
 
 
-def _chunks(batches):
+def _chunks(batch_number: int):
     """Map side: texts to chunk rows. kind 0: a chunk's ids, lengths and bytes, compressed; number: its bytes."""
-    task = TaskContext.get().partitionId()
+
+    def run(batches):
+        return _chunk_rows(batches, (batch_number << 48) + (TaskContext.get().partitionId() << 24))
+
+    return run
+
+
+def _chunk_rows(batches, first: int):
     n, texts, ids, held = 0, [], [], 0
 
     def emit():
@@ -70,7 +85,7 @@ def _chunks(batches):
         body = zstandard.ZstdCompressor(level=1).compress(b"".join(texts))
         data = len(ids).to_bytes(8, "little") + keys + null + lengths + body
         row = pa.RecordBatch.from_arrays(
-            [pa.array([(task << 24) + n]), pa.array([0], pa.int32()), pa.array([held]), pa.array([data], pa.binary())], names=["chunk", "kind", "number", "data"]
+            [pa.array([first + n]), pa.array([0], pa.int32()), pa.array([held]), pa.array([data], pa.binary())], names=["chunk", "kind", "number", "data"]
         )
         n, texts, ids, held = n + 1, [], [], 0
         return row
@@ -223,27 +238,57 @@ def _send_anchors(shards: int):
                 stop = np.append(cut[1:], len(shard))
                 packed = [values[a:b].tobytes() + counts[a:b].tobytes() for a, b in zip(cut.tolist(), stop.tolist())]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(shard[cut]), pa.array(np.full(len(cut), chunk)), pa.array(packed, pa.binary())], names=["shard", "chunk", "data"]
+                    [pa.array(shard[cut]), pa.array(np.full(len(cut), chunk)), pa.array(np.zeros(len(cut), np.int32)), pa.array(packed, pa.binary())], names=["shard", "chunk", "kind", "data"]
                 )
 
     return run
 
 
-def _answer_anchors(most: int):
-    """Shard side: to each chunk those of its hashes that occur in two places; the very common ones also once, for all (chunk -1)."""
+ENTRY = np.dtype([("hash", "<u8"), ("chunk", "<i8"), ("count", "<u4")])
+
+
+def _entries(chunk: int, data: bytes) -> np.ndarray:
+    n = len(data) // 12
+    out = np.empty(n, ENTRY)
+    out["hash"], out["chunk"], out["count"] = np.frombuffer(data, "<u8", n), chunk, np.frombuffer(data, "<u4", n, 8 * n)
+    return out
+
+
+def _by_hash(parts: list[np.ndarray]) -> np.ndarray:
+    """Levels merged: entries in the order of their hashes."""
+    together = np.concatenate([np.empty(0, ENTRY), *parts])
+    return together[np.argsort(together["hash"], kind="stable")]
+
+
+def _answer_anchors(most: int, merged: int | None):
+    """Shard side: to each chunk those of the batch's hashes that occur in two places, of the batch or of stored levels.
+
+    The very common ones go out once, for all (kind 2). merged: levels below this number become one with the batch's entries (kind 4,
+    chunk: the shard); None: nothing is stored.
+    """
 
     def run(key: tuple, table: pa.Table) -> pa.Table:
-        chunks, packed = table.column("chunk").to_pylist(), table.column("data").to_pylist()
-        hashes = [np.frombuffer(x, _U, len(x) // 12) for x in packed]
-        counts = [np.frombuffer(x, "<u4", len(x) // 12, 8 * (len(x) // 12)) for x in packed]
-        values, at = np.unique(np.concatenate(hashes), return_inverse=True)
-        total = np.bincount(at, np.concatenate(counts).astype(float), len(values))
-        out, where = [(-1, 2, values[total > most].tobytes())], 0
-        for chunk, own in zip(chunks, hashes):
-            again = own[total[at[where : where + len(own)]] > 1]
-            where += len(own)
-            if len(again):
-                out.append((chunk, 1, again.tobytes()))
+        kinds, chunks, packed = (table.column(c).to_pylist() for c in ("kind", "chunk", "data"))
+        new = _by_hash([_entries(c, x) for k, c, x in zip(kinds, chunks, packed) if k == 0])
+        levels = {c: np.frombuffer(x, ENTRY) for k, c, x in zip(kinds, chunks, packed) if k == 1}
+        values, first = np.unique(new["hash"], return_index=True)
+        total = np.add.reduceat(new["count"].astype(np.int64), first) if len(first) else np.empty(0, np.int64)
+        found = [new]
+        for level in levels.values():  # both sides are sorted: a scan along the level
+            at = np.searchsorted(values, level["hash"])
+            here = at < len(values)
+            here[here] = values[at[here]] == level["hash"][here]
+            total += np.bincount(at[here], level["count"][here], len(values)).astype(np.int64)
+            found.append(level[here])
+        again = values[total > 1]
+        told = np.concatenate(found)
+        told = told[_among(told["hash"], again)]
+        told = told[np.argsort(told["chunk"], kind="stable")]
+        cut = np.flatnonzero(np.diff(told["chunk"], prepend=-1))
+        out = [(-1, 2, values[total > most].tobytes())]
+        out += [(int(part["chunk"][0]), 1, part["hash"].tobytes()) for part in np.split(told, cut[1:]) if len(part)]
+        if merged is not None:
+            out.append((key[0].as_py(), 4, _by_hash([*(x for number, x in levels.items() if number < merged), new]).tobytes()))
         return _messages(out)
 
     return run
@@ -266,128 +311,120 @@ def _by_kind(table: pa.Table) -> dict[int, list[bytes]]:
     return found
 
 
-def _send_contexts(shards: int, common: np.ndarray):
-    """Chunk side: to each shard the distinct contexts of anchors that occur again, and where in the chunk they are.
+def _send_contexts(common: np.ndarray):
+    """Chunk side: the distinct contexts of anchors that occur again, and where in the chunk they are.
 
     A context is the bytes from its first string's start to its last one's end.
     """
 
     def run(key: tuple, table: pa.Table) -> pa.Table:
         parts = _by_kind(table)
-        c = Chunk(parts[0][0])
-        again = np.unique(np.frombuffer(b"".join(parts.get(1, [])), _U))
-        first, last, hashes, _, moved = anchors(c, Common(common) if len(common) else None)
-        runs = np.flatnonzero(moved | _among(hashes, again))  # moved strings' anchors haven't been asked about
         found: dict[tuple, list[int]] = {}
-        for a, b, h in zip(first[runs].tolist(), (last[runs] + LENGTH).tolist(), hashes[runs].tolist()):
-            found.setdefault((h, c.body[a:b]), []).append(a)
-        by_shard: dict[int, list] = {}
-        for (h, text), at in found.items():
-            by_shard.setdefault(h % shards, []).append((h, text, at))
-        rows = []
-        for shard, items in by_shard.items():
-            head = np.array([(h, len(t), len(at)) for h, t, at in items], "<u8").tobytes()
-            where = np.concatenate([np.array(at, "<i8") for _, _, at in items]).tobytes()
-            data = len(items).to_bytes(8, "little") + head + where + b"".join(t for _, t, _ in items)
-            rows.append((shard, zstandard.ZstdCompressor(level=1).compress(data)))
+        if 1 in parts:  # a chunk without an answer has no string whose anchor occurs again, very common or not
+            c = Chunk(parts[0][0])
+            again = np.unique(np.frombuffer(b"".join(parts[1]), _U))
+            first, last, hashes, _, moved = anchors(c, Common(common) if len(common) else None)
+            runs = np.flatnonzero(moved | _among(hashes, again))  # moved strings' anchors haven't been asked about
+            for a, b, h in zip(first[runs].tolist(), (last[runs] + LENGTH).tolist(), hashes[runs].view(np.int64).tolist()):
+                found.setdefault((h, c.body[a:b]), []).append(a)
         return pa.table({
-            "shard": pa.array([x[0] for x in rows], pa.int64()), "chunk": pa.array([key[0].as_py()] * len(rows), pa.int64()),
-            "data": pa.array([x[1] for x in rows], pa.binary()),
+            "chunk": pa.array([key[0].as_py()] * len(found), pa.int64()), "h": pa.array([h for h, _ in found], pa.int64()),
+            "digest": pa.array([hashlib.blake2b(text, digest_size=16).digest() for _, text in found], pa.binary()), "text": pa.array([text for _, text in found], pa.binary()),
+            "places": pa.array([np.array(at, "<i8").tobytes() for at in found.values()], pa.binary()),
         })
 
     return run
 
 
-class Family:
-    """Levels of sorted strings; a level holds 2^k batches' distinct strings and the place that each was first seen at."""
+class Suffixes:
+    """A family of suffix arrays over some bytes: places in the order of the LENGTH bytes that begin there, distinct strings only.
 
-    def __init__(self):
-        self.levels: list[tuple[np.ndarray, np.ndarray] | None] = []
-        self.marks: list[np.ndarray] = []
+    A level holds 2^k batches. ``marked`` are the places whose string two places have; strings are compared where they lie.
+    """
 
-    def add(self, strings: np.ndarray, places: np.ndarray) -> None:
-        """Suffix array of a batch, merge-scan against the levels, then geometric merges."""
+    def __init__(self, data: bytes):
+        self.data = np.frombuffer(data, np.uint8)
+        self.strings = np.ndarray((max(0, len(data) - LENGTH + 1),), f"S{LENGTH}", self.data, strides=(1,))
+        self.levels: list[np.ndarray | None] = []
+        self.marked = np.zeros(len(data), bool)
+
+    def add(self, places: np.ndarray) -> None:
+        """Suffix array of a batch, merge-scan against all levels, then geometric merges."""
+        strings = self.strings[places]
         order = np.argsort(strings, kind="stable")
-        strings, places = strings[order], places[order]
+        places, strings = places[order], strings[order]
         same = strings[1:] == strings[:-1]
-        self.marks.append(places[np.append(same, False) | np.insert(same, 0, False)])
-        new = np.insert(~same, 0, True)
-        strings, places = strings[new], places[new]
+        self.marked[places[np.append(same, False) | np.insert(same, 0, False)]] = True
+        places = places[np.insert(~same, 0, True)[: len(places)]]
         for level in self.levels:
-            if level is not None:
-                old, old_places = level
-                at = np.minimum(np.searchsorted(old, strings), len(old) - 1)
-                match = old[at] == strings
-                self.marks += [old_places[at[match]], places[match]]
-                strings_new = ~match  # strings a level has needn't be held twice
-                strings, places = strings[strings_new], places[strings_new]
+            if level is not None and len(places):
+                places = self._scan(level, places)  # strings that a level has needn't be held twice
         k = 0
         while k < len(self.levels) and self.levels[k] is not None:
-            old, old_places = self.levels[k]
-            strings, places = np.concatenate([old, strings]), np.concatenate([old_places, places])
-            order = np.argsort(strings, kind="stable")
-            strings, places = strings[order], places[order]
-            self.levels[k] = None
+            level, self.levels[k] = self.levels[k], None
+            places = np.insert(level, self._below(level, places), places)
             k += 1
         if k == len(self.levels):
             self.levels.append(None)
-        self.levels[k] = (strings, places) if len(strings) else None
-
-    def marked(self) -> np.ndarray:
-        return np.unique(np.concatenate(self.marks)) if self.marks else np.empty(0, np.int64)
+        self.levels[k] = places if len(places) else None
+
+    def _below(self, level: np.ndarray, places: np.ndarray) -> np.ndarray:
+        """For each of the sorted places how many of the level are less: one walk along both, in blocks."""
+        out = np.full(len(places), len(level), np.int64)
+        done = 0
+        for low in range(0, len(level), BATCH_STRINGS):
+            part = self.strings[level[low : low + BATCH_STRINGS]]
+            while done < len(places):
+                own = self.strings[places[done : done + BATCH_STRINGS]]
+                end = int(np.searchsorted(own, part[-1], side="right"))
+                out[done : done + end] = low + np.searchsorted(part, own[:end])
+                done += end
+                if end < len(own):
+                    break
+            if done == len(places):
+                break
+        return out
+
+    def _scan(self, level: np.ndarray, places: np.ndarray) -> np.ndarray:
+        """The places whose strings the level doesn't have; the others are marked, on both sides."""
+        at = np.minimum(self._below(level, places), len(level) - 1)
+        match = np.zeros(len(places), bool)
+        for low in range(0, len(places), BATCH_STRINGS):
+            part = slice(low, low + BATCH_STRINGS)
+            match[part] = self.strings[level[at[part]]] == self.strings[places[part]]
+        self.marked[level[at[match]]] = True
+        self.marked[places[match]] = True
+        return places[~match]
 
 
 def _match(key: tuple, table: pa.Table) -> pa.Table:
-    """Shard side: contexts in; out to each chunk the places of contexts with repeated strings, and which strings those are."""
-    numbers: dict[tuple[int, bytes], int] = {}
-    members: list[list[tuple[int, np.ndarray]]] = []
-    for chunk, data in zip(table.column("chunk").to_pylist(), table.column("data").to_pylist()):
-        data = zstandard.ZstdDecompressor().decompress(data)
-        n = int.from_bytes(data[:8], "little")
-        head = np.frombuffer(data, "<u8", 3 * n, 8).reshape(n, 3)
-        where = np.split(np.frombuffer(data, "<i8", int(head[:, 2].sum()), 8 + 24 * n), np.cumsum(head[:-1, 2]).astype(np.int64))
-        at = 8 + 24 * n + 8 * int(head[:, 2].sum())
-        for (h, size, _), places in zip(head.tolist(), where):
-            i = numbers.setdefault((h, data[at : at + size]), len(numbers))
-            at += size
-            if i == len(members):
-                members.append([])
-            members[i].append((chunk, places))
-    contexts = list(numbers)
-    del numbers
-    sizes = np.array([len(t) - LENGTH + 1 for _, t in contexts])
+    """Shard side: distinct contexts in, with how often each stands; out those with repeated strings, and which strings those are."""
+    texts, h = table.column("text").to_pylist(), table.column("h").to_numpy()
+    often = table.column("n").to_numpy() > 1
+    sizes = np.array([len(t) for t in texts], np.int64)
     base = np.concatenate([[0], np.cumsum(sizes)])
-    marks = np.zeros(base[-1], bool)
-    _, at, shares = np.unique(np.array([h for h, _ in contexts], _U), return_inverse=True, return_counts=True)
-    family = Family()
+    suffixes = Suffixes(b"".join(texts))
+    del texts
+    _, at, shares = np.unique(h, return_inverse=True, return_counts=True)
     batch, held = [], 0
-
-    def flush():
-        nonlocal batch, held
-        if batch:
-            views = [np.lib.stride_tricks.sliding_window_view(np.frombuffer(contexts[i][1], np.uint8), LENGTH) for i in batch]
-            strings = np.ascontiguousarray(np.concatenate(views)).view(f"S{LENGTH}").ravel()
-            family.add(strings, np.concatenate([np.arange(base[i], base[i + 1]) for i in batch]))
-        batch, held = [], 0
-
-    for i, size in enumerate(sizes.tolist()):
-        if sum(len(places) for _, places in members[i]) > 1:
-            marks[base[i] : base[i + 1]] = True
-        if shares[at[i]] > 1:  # else no other context has this anchor, so none has one of its strings
-            batch.append(i)
-            held += size
-            if held >= BATCH_STRINGS:
-                flush()
-    flush()
-    marks[family.marked()] = True
-    out: dict[int, list[bytes]] = {}
-    for i, own in enumerate(members):
-        found = marks[base[i] : base[i + 1]]
+    for i in np.flatnonzero(shares[at] > 1).tolist():  # else no other context has this anchor, so none has one of its strings
+        batch.append(np.arange(base[i], base[i + 1] - LENGTH + 1))
+        held += len(batch[-1])
+        if held >= BATCH_STRINGS:
+            suffixes.add(np.concatenate(batch))
+            batch, held = [], 0
+    if batch:
+        suffixes.add(np.concatenate(batch))
+    rows = []
+    for i in range(len(sizes)):
+        size = int(sizes[i]) - LENGTH + 1
+        found = np.ones(size, bool) if often[i] else suffixes.marked[base[i] : base[i] + size]
         if found.any():
-            packed = np.packbits(found).tobytes()
-            for chunk, places in own:
-                out.setdefault(chunk, []).append(np.array([len(places), len(found)], "<i8").tobytes() + places.tobytes() + packed)
-    return _messages([(chunk, 3, b"".join(items)) for chunk, items in out.items()])
+            rows.append((i, size, np.packbits(found).tobytes()))
+    who = pa.array([r[0] for r in rows], pa.int64())
+    return pa.table({
+        "h": table.column("h").take(who), "digest": table.column("digest").take(who), "size": pa.array([r[1] for r in rows], pa.int64()), "bits": pa.array([r[2] for r in rows], pa.binary()),
+    })
 
 
 # ---- what stays ----
@@ -400,17 +437,15 @@ def _finish(keep_text: bool):
         parts = _by_kind(table)
         c = Chunk(parts[0][0])
         covered = np.zeros(len(c.bytes) + 1, np.int64)
-        for data in parts.get(3, []):
-            at = 0
-            while at < len(data):
-                n, size = np.frombuffer(data, "<i8", 2, at).tolist()
-                places = np.frombuffer(data, "<i8", n, at + 16)
-                at += 16 + 8 * n
-                found = np.flatnonzero(np.unpackbits(np.frombuffer(data, np.uint8, (size + 7) // 8, at), count=size))
-                at += (size + 7) // 8
-                starts = (places[:, None] + found[None, :]).ravel()  # distinct: a string has one anchor
-                covered[starts] += 1
-                covered[starts + LENGTH] -= 1
+        for number, data in zip(*(table.column(x).to_pylist() for x in ("number", "data")) if 3 in parts else ((), ())):
+            if number >= 0:
+                continue
+            width = (7 - number) // 8  # bytes of the marks of -number strings
+            places = np.frombuffer(data, "<i8", (len(data) - width) // 8)
+            found = np.flatnonzero(np.unpackbits(np.frombuffer(data, np.uint8, width, len(data) - width), count=-number))
+            starts = (places[:, None] + found[None, :]).ravel()
+            np.add.at(covered, starts, 1)  # a chunk may hear of a string again in a later batch
+            np.subtract.at(covered, starts + LENGTH, 1)
         gone = np.cumsum(covered[:-1]) > 0
         rows = []
         for doc, null, end, n in zip(c.ids.tolist(), c.null.tolist(), c.ends.tolist(), c.lengths.tolist()):
@@ -427,31 +462,96 @@ def _finish(keep_text: bool):
     return run
 
 
+class Family:
+    """Documents that came in batches, in a shared folder: chunks, levels of sorted anchors (1, 2, 4, ... batches each), and marks.
+
+    ``state.json`` names the files; it is written last, so a batch that failed leaves the family as it was. shards: set at creation, for the size that the
+    family is to reach (by default that of its first batch).
+    """
+
+    def __init__(self, spark: SparkSession, folder: str, shards: int | None = None, stored: bool = True):
+        self.spark, self.folder, self.stored = spark, folder, stored
+        self.state = self._load() or {"shards": shards, "bytes": 0, "batches": 0, "chunks": [], "marks": [], "levels": []}
+
+    def _path(self):
+        jvm = self.spark.sparkContext._jvm
+        path = jvm.org.apache.hadoop.fs.Path(f"{self.folder}/state.json")
+        return path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), path
+
+    def _load(self) -> dict | None:
+        store, path = self._path()
+        return json.loads(self.spark.read.option("wholetext", True).text(str(path)).first()[0]) if store.exists(path) else None
+
+    def _save(self) -> None:
+        store, path = self._path()
+        out = store.create(path, True)
+        out.write(json.dumps(self.state).encode())
+        out.close()
+
+    def _kept(self, df: DataFrame, name: str) -> str:
+        path = scratch(self.spark, f"suffix-{name}") if not self.stored else f"{self.folder}/{name}-{self.state['batches']}"
+        df.write.mode("overwrite").option("compression", "zstd" if name == "contexts" else "none").parquet(path)
+        return path
+
+    def _read(self, paths: list[str], schema: str) -> DataFrame:
+        return self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
+
+    def add(self, docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> None:
+        """Take a batch: its strings are looked for in itself and in all earlier batches, and theirs in it."""
+        state = self.state
+        rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
+        path = self._kept(rows.mapInArrow(_chunks(state["batches"]), MESSAGE), "chunks")
+        chunks = self._read([path], MESSAGE)
+        size = chunks.agg(F.sum("number")).first()[0] or 0
+        total, shards = state["bytes"] + size, state["shards"] or max(16, int(size // SHARD_BYTES) + 1)
+        # equal sizes merge: a counter in base two
+        levels, merged, new = list(state["levels"]), 0, 1
+        while merged < len(levels) and levels[merged]["batches"] == new:
+            new += levels[merged]["batches"]
+            merged += 1
+        asked = chunks.select("chunk", "data").mapInArrow(_send_anchors(shards), ASKED)
+        for number, level in enumerate(levels):
+            found = self._read([level["path"]], MESSAGE).where("kind = 4")
+            asked = asked.unionByName(found.select(F.col("chunk").alias("shard"), F.lit(number).cast("long").alias("chunk"), F.lit(1).alias("kind"), "data"))
+        most = max(COMMON, int(total // ANCHOR_BYTES) // MOST_COMMON)
+        answers = self._kept(asked.groupBy("shard").applyInArrow(_answer_anchors(most, merged if self.stored else None), MESSAGE), "anchors")
+        known = self._read([answers], MESSAGE)
+        # at most MOST_COMMON hashes have that many of the anchors, so this is bounded for every corpus
+        common = np.unique(np.frombuffer(b"".join(r["data"] for r in known.where("kind = 2").select("data").collect()), _U))
+        told = known.where("kind = 1")
+        if state["chunks"]:
+            old = self._read(state["chunks"], MESSAGE)
+            heard = staged(told.select("chunk").distinct(), "suffix-heard")
+            chunks = chunks.unionByName(join_checked(old, heard, ["chunk"], "left_semi"))
+        contexts = self._kept(chunks.unionByName(told).groupBy("chunk").applyInArrow(_send_contexts(common), CONTEXT), "contexts")
+        contexts = self._read([contexts], CONTEXT)
+        distinct = contexts.groupBy("h", "digest", "text").agg(F.sum(F.octet_length("places") / 8).cast("long").alias("n"))
+        replies = staged(distinct.withColumn("shard", F.pmod("h", F.lit(shards))).groupBy("shard").applyInArrow(_match, REPLY), "suffix-replies")
+        marks = join_checked(contexts.select("chunk", "h", "digest", "places"), replies, ["h", "digest"], "inner")
+        marks = marks.select("chunk", F.lit(3).alias("kind"), (-F.col("size")).alias("number"), F.concat("places", "bits").alias("data"))
+        self.state = {
+            "shards": shards, "bytes": total, "batches": state["batches"] + 1, "chunks": [*state["chunks"], path], "marks": [*state["marks"], self._kept(marks, "marks")],
+            "levels": [{"batches": new, "path": answers}, *levels[merged:]],
+        }
+        if self.stored:
+            self._save()
+
+    def result(self, keep_text: bool = False) -> DataFrame:
+        """One row per row of all batches: doc_id, n_bytes, n_removed, n_spans, kept_sha256 (, kept_bytes)."""
+        parts = self._read(self.state["chunks"], MESSAGE).unionByName(self._read(self.state["marks"], MESSAGE))
+        return parts.groupBy("chunk").applyInArrow(_finish(keep_text), RESULT + (", kept_bytes binary" if keep_text else ""))
+
+
 def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", keep_text: bool = False) -> DataFrame:
     """One row per row of docs: doc_id, n_bytes, n_removed, n_spans, kept_sha256 (, kept_bytes)."""
-    spark = docs.sparkSession
-    folder = scratch(spark, "suffix")
-
-    def kept(df: DataFrame, name: str) -> DataFrame:
-        df.write.option("compression", "none").parquet(f"{folder}/{name}")
-        return spark.read.schema(df.schema).parquet(f"{folder}/{name}")
-
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    chunks = kept(rows.mapInArrow(_chunks, MESSAGE), "chunks")
-    total = chunks.agg(F.sum("number")).first()[0] or 0
-    shards = max(16, int(total // SHARD_BYTES) + 1)
-    asked = chunks.select("chunk", "data").mapInArrow(_send_anchors(shards), "shard long, chunk long, data binary")
-    most = max(COMMON, int(total // ANCHOR_BYTES) // MOST_COMMON)
-    known = kept(asked.groupBy("shard").applyInArrow(_answer_anchors(most), MESSAGE), "anchors")
-    # at most MOST_COMMON hashes have that many of the anchors, so this is bounded for every corpus
-    common = np.unique(np.frombuffer(b"".join(r["data"] for r in known.where("chunk = -1").select("data").collect()), _U))
-    known = known.where("chunk >= 0")
-    contexts = chunks.unionByName(known).groupBy("chunk").applyInArrow(_send_contexts(shards, common), "shard long, chunk long, data binary")
-    marks = kept(contexts.groupBy("shard").applyInArrow(_match, MESSAGE), "marks")
-    parts = chunks.unionByName(marks)
-    return parts.groupBy("chunk").applyInArrow(_finish(keep_text), RESULT + (", kept_bytes binary" if keep_text else ""))
+    family = Family(docs.sparkSession, scratch(docs.sparkSession, "suffix"), stored=False)
+    family.add(docs, doc_id, text)
+    out = staged(family.result(keep_text), "suffix-result")
+    for path in (*family.state["chunks"], *family.state["marks"], *(x["path"] for x in family.state["levels"])):
+        drop_path(docs.sparkSession, path)
+    return out
 
 
 def op10(spark, sf_dir: str) -> DataFrame:
     """The contract query over all documents."""
-    return remove_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return remove_repeats(spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")))
