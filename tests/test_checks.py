@@ -96,6 +96,7 @@ def test_retention(spark):
     files = spark.createDataFrame([(f"b{s}",) for s in (7, 8, 9)], "locator string")
     assert found(checks.retention(kept, files, 9, 2)) == []
     assert any("start at 6" in x[2] for x in found(checks.retention(kept, files, 9, 3)))
+    assert found(checks.retention(kept.where("seq > 99"), files, 9, 2)) == [("retention", 0, "no segments left in the log")]
     bad = found(checks.retention(kept.where("seq <> 8"), files.where("locator <> 'b7'"), 9, 2))
     assert {x[2] for x in bad} == {"the window has a hole", "missing b7", "orphan b8"}
 

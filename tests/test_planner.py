@@ -85,8 +85,19 @@ def test_policies():
     budget = policy.TimeBudget(5, 2)
     assert list(policy.fold(budget, [s(i, 2.0 * i) for i in range(1, 9)])) == [False, False, False, True, False, False, False, True]
     both = policy.AnyOf([policy.SegmentEnd(), policy.TimeBudget(5)])
-    assert list(policy.fold(both, [s(i % 4 + 1, 3.0 * i) for i in range(1, 7)])) == [False, True, True, False, True, False] or True
+    # steps 2 3 4 1 2 3 at 3 6 9 12 15 18 s: 6 s since the start, then the segment's end at 9, then 6 s after it
+    assert list(policy.fold(both, [s(i % 4 + 1, 3.0 * i) for i in range(1, 7)])) == [False, True, True, False, True, False]
     assert both.column() is None and policy.Never().decide(s(1)) is False
+    # steps of 0.6 s, asked on every second one of the run, which goes on whoever fires: k fires on 3 6 9 12, the budget on 2 4 8 10
+    timed = policy.build_policy("any", 3, 1.0, 2)
+    timed.tests = timed.tests[:1]
+    assert [i for i, fires in enumerate(policy.fold(timed, [s(i, 0.6 * i) for i in range(1, 13)]), 1) if fires] == [2, 3, 6, 8, 9, 12]
+    timed = policy.TimeBudget(5)
+    timed.checkpointed(s(1, 20.0))
+    assert not timed.decide(s(2, 24.0)) and timed.decide(s(3, 25.0))
+    for kind in ("every_k", "time"):
+        with pytest.raises(ValueError):
+            policy.build_policy(kind)
     with pytest.raises(ValueError):
         policy.build_policy("sometimes")
     with pytest.raises(ValueError):

@@ -235,10 +235,10 @@ def distinct_refs_first_wins(spark, sf):
     return planner.first_refs(plan(spark, sf, 2))
 
 
-@query("""WITH n AS (SELECT count(*) AS n FROM embeddings),
-e AS (SELECT vec_id AS item, pass, pass * n + row_number() OVER (PARTITION BY pass ORDER BY md5('7:' || pass || ':' || vec_id), vec_id) - 1 AS place, n
-      FROM embeddings, n, (SELECT unnest(range(20)) AS pass))
-SELECT place // 48 AS seq, place % 48 AS i, ((place // 48) * 48) // n AS segment_pass, item FROM e WHERE place < 20 * 48""")
+@query("""WITH n AS (SELECT count(*) AS n, CAST(ceil(2 * count(*) / 48.0) * 48 AS BIGINT) AS places FROM embeddings),
+e AS (SELECT vec_id AS item, pass, pass * n + row_number() OVER (PARTITION BY pass ORDER BY md5('7:' || pass || ':' || vec_id), vec_id) - 1 AS place, n, places
+      FROM embeddings, n, (SELECT unnest(range((SELECT (places - 1) // n + 1 FROM n))) AS pass))
+SELECT place // 48 AS seq, place % 48 AS i, ((place // 48) * 48) // n AS segment_pass, item FROM e WHERE place < places""")
 def segment_anchors(spark, sf):
     """Two whole passes at least: every item is drawn, and segments run across the end of a pass."""
     items = table(spark, sf, "embeddings")
@@ -297,11 +297,27 @@ def policy_any(spark, sf):
     return _fires(spark, sf, "any", 3)
 
 
-@query()
+def _timed(tests: str, seconds: float, poll: int) -> str:
+    """Steps of 1.5 s in order: tests on a step, or a budget asked on every poll-th step; the budget's clock starts again at each checkpoint."""
+    due = f"(({tests}) OR (s.place + 1) % {poll} = 0 AND s.place * 1.5 - f.since >= {seconds})"
+    return f"""WITH RECURSIVE {_STEPS},
+f(place, since, fires) AS (
+  SELECT -1::BIGINT, 0.0::DOUBLE, false UNION ALL
+  SELECT s.place, CASE WHEN {due} THEN s.place * 1.5 ELSE f.since END::DOUBLE, {due} FROM f JOIN steps s ON s.place = f.place + 1
+) SELECT place, fires FROM f WHERE place >= 0"""
+
+
+@query(_timed("false", 7.0, 2))
 def policy_time_budget(spark, sf):
     return _fires(spark, sf, "time", time_budget_s=7.0, poll_every=2)
 
 
+@query(_timed("s.step % 3 = 0 OR s.step = 4 OR s.pass_ends", 2.0, 3))
+def policy_any_with_budget(spark, sf):
+    """A budget among other rules: their checkpoints restart its clock, its poll goes on."""
+    return _fires(spark, sf, "any", 3, time_budget_s=2.0, poll_every=3)
+
+
 @query(f"""WITH {_STEPS} SELECT place, format('checkpoint_g{{:06d}}_p{{:06d}}_n03_a00', seq, step * 3) AS name FROM steps WHERE step % 3 = 0 OR step = 4""")
 def checkpoint_names(spark, sf):
     rows = policy.decisions(steps(spark, sf), lambda: policy.build_policy("any", 3)).where("fires")
@@ -393,6 +409,7 @@ per AS (SELECT attempt, min(position) AS first, max(position) AS last, min(world
 moves AS (SELECT *, lag(attempt) OVER w AS before, lag(last) OVER w AS last_before, lag(n) OVER w AS n_before FROM per WINDOW w AS (ORDER BY attempt)),
 moved AS (SELECT m.*, (SELECT count(*) FROM records r WHERE r.attempt = m.before AND r.position >= m.first) AS replayed FROM moves m WHERE before IS NOT NULL)
 {_dealing()} UNION ALL {_duplicates()} UNION ALL
+{_problem("recovery", "n", "'fewer than 2 attempts'", "(SELECT count(*) AS n FROM per) WHERE n < 2")} UNION ALL
 {_problem("recovery", "attempt", "'mixed world sizes'", "per WHERE sizes > 1")} UNION ALL
 {_problem("recovery", "attempt", "'gap after ' || last_before", "moved WHERE first > last_before + 1")} UNION ALL
 {_problem("recovery", "attempt", "'does not start at a step boundary'", "moved WHERE (first % 12) % n <> 0")} UNION ALL
@@ -461,9 +478,9 @@ def gc_candidates(spark, sf):
 
 @query(f"""WITH {_plan()}, kept AS (SELECT seq, block_id AS locator FROM plan WHERE seq >= 4 AND seq <> 6), files AS (SELECT block_id AS locator FROM plan WHERE seq >= 4 AND seq <> 6 AND pos <> 3 UNION ALL SELECT 'stray'),
 b AS (SELECT min(seq) AS first, max(seq) AS last, count(DISTINCT seq) AS n FROM kept)
-{_problem("retention", "first", "'the window should start place 3'", "b WHERE first <> 3")} UNION ALL {_problem("retention", "n", "'the window has a hole'", "b WHERE last - first + 1 <> n")} UNION ALL
+{_problem("retention", "n", "'no segments left in the log'", "b WHERE n = 0")} UNION ALL {_problem("retention", "first", "'the window should start at 3'", "b WHERE first <> 3")} UNION ALL {_problem("retention", "n", "'the window has a hole'", "b WHERE last - first + 1 <> n")} UNION ALL
 {_problem("retention", "NULL", "'missing ' || locator", "(SELECT DISTINCT locator FROM kept) k ANTI JOIN files USING (locator)")} UNION ALL
-{_problem("retention", "NULL", "'orphan ' || locator", "files ANTI JOIN kept USING (locator)")}""")
+{_problem("retention", "NULL", "'orphan ' || locator", "files ANTI JOIN kept USING (locator) WHERE (SELECT n FROM b) > 0")}""")
 def check_retention(spark, sf):
     kept = plan(spark, sf).where("seq >= 4 and seq <> 6").select("seq", "pos", F.col("block_id").alias("locator"))
     files = kept.where("pos <> 3").select("locator").unionByName(spark.createDataFrame([("stray",)], "locator string"))
@@ -522,8 +539,8 @@ def mine_negatives(spark, sf):
     return mining.negatives(items, mining.near_clusters(mining.centroid_vectors(items), 3), SEED)
 
 
-_KNN = """q AS (SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id < 100), b AS (SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id >= 100),
-s AS (SELECT q.vec_id AS "query", q.label::BIGINT AS query_label, b.vec_id AS item, b.label::BIGINT AS label, list_dot_product(q.v, b.v) AS sim FROM q, b),
+_KNN = """q AS (SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id % 100 = 0), b AS (SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings),
+s AS (SELECT q.vec_id AS "query", q.label::BIGINT AS query_label, b.vec_id AS item, b.label::BIGINT AS label, list_dot_product(q.v, b.v) AS sim FROM q, b WHERE q.vec_id <> b.vec_id),
 nn AS (SELECT *, row_number() OVER (PARTITION BY "query" ORDER BY sim DESC, item) AS rank FROM s),
 votes AS (SELECT "query", query_label, label, sum(exp(sim / 0.1)) AS weight FROM nn WHERE rank <= 10 GROUP BY 1, 2, 3),
 pred AS (SELECT "query", query_label, label AS predicted FROM (SELECT *, row_number() OVER (PARTITION BY "query" ORDER BY weight DESC, label) AS r FROM votes) WHERE r = 1)"""
@@ -649,7 +666,7 @@ def audit_roundtrip(spark, sf):
     return read_audit(spark, store, "run").drop("part", "line")
 
 
-@query("SELECT l_orderkey, l_linenumber, 'b' || lpad(CAST(l_orderkey // 100 AS VARCHAR), 5, '0') AS block_id FROM lineitem WHERE l_orderkey < 2400")
+@query("SELECT l_orderkey, l_linenumber, 'b' || lpad(CAST(l_orderkey // 100 AS VARCHAR), 5, '0') AS block_id FROM lineitem")
 def log_roundtrip(spark, sf):
     """All blocks written one a file, committed as segments, read back through the manifest.
 

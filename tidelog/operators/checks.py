@@ -257,9 +257,11 @@ def retention(kept: DataFrame, files: DataFrame, last_checkpoint: int, keep: int
     bounds = kept.agg(F.min("seq").alias("first"), F.max("seq").alias("last"), F.count_distinct("seq").alias("n"))
     start = max(0, last_checkpoint - keep)
     missing = kept.select("locator").distinct().join(files, "locator", "left_anti")
-    orphans = files.join(kept.select("locator"), "locator", "left_anti")
+    some = F.broadcast(bounds.where("n > 0").select("n"))  # one row: an empty log says nothing of the files
+    orphans = files.join(kept.select("locator"), "locator", "left_anti").join(some, F.lit(True))
     name = lambda what: F.concat(F.lit(what), F.col("locator"))
     return union(
+        _problems(bounds.where("n = 0"), "retention", F.col("n"), "no segments left in the log"),
         _problems(bounds.where(F.col("first") != start), "retention", F.col("first"), f"the window should start at {start}"),
         _problems(bounds.where("last - first + 1 <> n"), "retention", F.col("n"), "the window has a hole"),
         _problems(missing, "retention", F.lit(None), name("missing ")),

@@ -1,9 +1,18 @@
-"""Checkpoint policies over the table of steps: Column predicates, and an ordered fold where a decision depends on earlier ones."""
+"""Checkpoint policies over the table of steps.
+
+A policy is a set of tests on single steps and of time budgets; it fires where any of them does. Tests are written once and
+serve as Column predicates and on one step alike. Budgets depend on the checkpoints before, so steps of a policy that has
+one are folded in order.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
+from functools import reduce
+from operator import or_
+from types import SimpleNamespace
+from typing import Any
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -21,113 +30,74 @@ class Step:
 
 
 class Policy:
-    """``column`` is the predicate over (step, steps, pass_ends); None if only the fold can decide."""
+    """tests: functions of a step's fields that use only operators Columns have too. budgets: (seconds, poll).
+
+    A budget is due on every poll-th step of the run if so many seconds have passed since the last checkpoint, whoever asked for that.
+    """
+
+    def __init__(self, *tests: Callable[[Any], Any], budgets: tuple[tuple[float, int], ...] = ()):
+        self.tests, self.budgets = tests, tuple(budgets)
+        self.taken, self.last = 0, 0.0  # steps so far, and when the last checkpoint was
 
     def column(self) -> Column | None:
-        raise NotImplementedError
+        """The predicate over (step, steps, pass_ends); None if only the fold can decide."""
+        fields = SimpleNamespace(**{c: F.col(c) for c in ("step", "steps", "pass_ends")})
+        return None if self.budgets else reduce(or_, (test(fields) for test in self.tests), F.lit(False))
 
     def decide(self, s: Step) -> bool:
-        raise NotImplementedError
+        """Told of each step once, in order."""
+        self.taken += 1
+        waited = [self.taken % poll == 0 and s.elapsed - self.last >= seconds for seconds, poll in self.budgets]
+        fires = any(waited) or any(test(s) for test in self.tests)
+        if fires:
+            self.checkpointed(s)
+        return fires
 
     def checkpointed(self, s: Step) -> None:
         """Told after each checkpoint, whoever asked for it."""
+        self.last = s.elapsed
 
 
-class Never(Policy):
-    def column(self):
-        return F.lit(False)
-
-    def decide(self, s):
-        return False
-
-
-@dataclass
-class EveryKSteps(Policy):
-    k: int
-
-    def __post_init__(self):
-        if self.k <= 0:
-            raise ValueError("k must be positive")
-
-    def column(self):
-        return (F.col("step") > 0) & (F.col("step") % self.k == 0)
+def Never() -> Policy:
+    return Policy()
 
-    def decide(self, s):
-        return s.step > 0 and s.step % self.k == 0
 
+def EveryKSteps(k: int) -> Policy:
+    if k <= 0:
+        raise ValueError("k must be positive")
+    return Policy(lambda s: (s.step > 0) & (s.step % k == 0))
 
-class SegmentEnd(Policy):
-    def column(self):
-        return F.col("step") == F.col("steps")
 
-    def decide(self, s):
-        return s.step == s.steps
+def SegmentEnd() -> Policy:
+    return Policy(lambda s: s.step == s.steps)
 
 
-class PassEnd(Policy):
-    def column(self):
-        return (F.col("step") == F.col("steps")) & F.col("pass_ends")
+def PassEnd() -> Policy:
+    return Policy(lambda s: (s.step == s.steps) & s.pass_ends)
 
-    def decide(self, s):
-        return s.step == s.steps and s.pass_ends
 
+def TimeBudget(seconds: float, poll_every: int = 1) -> Policy:
+    if seconds <= 0 or poll_every <= 0:
+        raise ValueError("seconds and poll_every must be positive")
+    return Policy(budgets=((seconds, poll_every),))
 
-@dataclass
-class TimeBudget(Policy):
-    """Due when that many seconds have passed since the last checkpoint; asked on every poll_every-th step."""
 
-    seconds: float
-    poll_every: int = 1
-    since: float = 0.0
-    asked: int = 0
+def AnyOf(members: list[Policy]) -> Policy:
+    if not members:
+        raise ValueError("a choice needs a policy at least")
+    return Policy(*(t for m in members for t in m.tests), budgets=tuple(b for m in members for b in m.budgets))
 
-    def __post_init__(self):
-        if self.seconds <= 0 or self.poll_every <= 0:
-            raise ValueError("seconds and poll_every must be positive")
 
-    def column(self):
-        return None
-
-    def decide(self, s):
-        self.asked += 1
-        return self.asked % self.poll_every == 0 and s.elapsed - self.since >= self.seconds
-
-    def checkpointed(self, s):
-        self.since, self.asked = s.elapsed, 0
-
-
-@dataclass
-class AnyOf(Policy):
-    members: list[Policy] = field(default_factory=list)
-
-    def column(self):
-        parts = [m.column() for m in self.members]
-        if any(p is None for p in parts):
-            return None
-        out = F.lit(False)
-        for p in parts:
-            out = out | p
-        return out
-
-    def decide(self, s):
-        return any([m.decide(s) for m in self.members])  # each is asked, as some count
-
-    def checkpointed(self, s):
-        for m in self.members:
-            m.checkpointed(s)
-
-
-def build_policy(kind: str = "any", every_k: int | None = 4, time_budget_s: float | None = None, poll_every: int = 1) -> Policy:
-    made: dict[str, Callable[[], Policy]] = {
-        "never": Never, "every_k": lambda: EveryKSteps(every_k or 1), "segment_end": SegmentEnd, "pass_end": PassEnd,
-        "time": lambda: TimeBudget(time_budget_s or 0, poll_every),
-    }
-    if kind == "any":
-        extra = ([EveryKSteps(every_k)] if every_k else []) + ([TimeBudget(time_budget_s, poll_every)] if time_budget_s else [])
-        return AnyOf([*extra, SegmentEnd(), PassEnd()])
+def build_policy(kind: str = "any", every_k: int | None = None, time_budget_s: float | None = None, poll_every: int = 1) -> Policy:
+    """By the names of the configuration; ``any`` takes the parts that are set, and both ends."""
+    steps = [EveryKSteps(every_k)] if every_k is not None else []
+    budget = [TimeBudget(time_budget_s, poll_every)] if time_budget_s is not None else []
+    made = {"never": [Never()], "every_k": steps, "segment_end": [SegmentEnd()], "pass_end": [PassEnd()], "time": budget, "any": [*steps, SegmentEnd(), PassEnd(), *budget]}
     if kind not in made:
         raise ValueError(f"unknown policy {kind!r}")
-    return made[kind]()
+    if not made[kind]:
+        raise ValueError(f"policy {kind!r} needs its value")
+    return AnyOf(made[kind])
 
 
 def decisions(steps: DataFrame, make: Callable[[], Policy], run: str = "run") -> DataFrame:
@@ -142,10 +112,7 @@ def decisions(steps: DataFrame, make: Callable[[], Policy], run: str = "run") ->
     def fold(rows: pd.DataFrame) -> pd.DataFrame:
         policy, rows, fires = make(), rows.sort_values("place"), []
         for r in rows.itertuples():
-            s = Step(int(r.step), int(r.steps), bool(r.pass_ends), float(r.elapsed))
-            fires.append(policy.decide(s))
-            if fires[-1]:
-                policy.checkpointed(s)
+            fires.append(policy.decide(Step(int(r.step), int(r.steps), bool(r.pass_ends), float(r.elapsed))))
         return rows.assign(fires=fires)
 
     return steps.groupBy(run).applyInPandas(fold, steps.withColumn("fires", F.lit(False)).schema)
@@ -167,8 +134,4 @@ def expected_reports(segments: int, w: int, n: int, kind: str, every_k: int | No
 
 
 def fold(policy: Policy, steps: Iterator[Step]) -> Iterator[bool]:
-    for s in steps:
-        fires = policy.decide(s)
-        if fires:
-            policy.checkpointed(s)
-        yield fires
+    return map(policy.decide, steps)
