@@ -4,8 +4,9 @@ What is asked of a byte position is whether the LENGTH-byte string that starts t
 else. Suffix arrays of all positions would hold every string; most are unique, and a sampled form loses
 none of the others:
 
-1. Texts are gathered in map tasks to chunks, compressed, in the shared folder; a chunk is the unit that later steps send
-   messages to, so nothing is kept on the driver and no step needs all of a group.
+1. Texts are gathered in map tasks to chunks, compressed, in files of the shared folder; a chunk is the unit that later steps send
+   messages to, so nothing is kept on the driver and no step needs all of a group. What is shuffled of a chunk is its place in
+   those files; a task that needs its bytes reads them there. Files have the attempt's number in their name, and only those of attempts that succeeded are named by a row.
 2. A string's anchor is the leftmost of its ANCHOR-byte substrings with the least hash. Equal strings have equal
    anchors, so a string whose anchor occurs once in the corpus is unique. Chunks send their distinct
    anchor hashes to hash shards. A shard sorts those of the batch, merge-scans them against the levels of earlier batches, which are
@@ -38,12 +39,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import drop_path, join_checked, scratch, spread, staged
+from .common import drop_path, join_checked, opened, parallelism, scratch, spread, staged
 
 LENGTH = 200
 ANCHOR = 64
 #: Bytes of text in a chunk; a longer text is a chunk of its own.
 CHUNK_BYTES = 4_000_000
+#: Bytes of texts that a task reads, about.
+TASK_BYTES = 16_000_000
 #: Bytes of the corpus for each shard of anchors and of contexts.
 SHARD_BYTES = 2_000_000
 #: An anchor in more places than this is very common, or in more than one of MOST_COMMON of all anchors, if that is more.
@@ -65,47 +68,55 @@ _TOP = _U(0xFFFFFFFFFFFFFFFF)
 # ---- chunks ----
 
 
-def _chunks(batch_number: int):
-    """Map side: texts to chunk rows. kind 0: a chunk's ids, lengths and bytes, compressed; number: its bytes."""
+def _chunks(folder: str, batch_number: int):
+    """Map side: texts to chunks, written to a file, and a row for each. kind 0: the chunk's place (file, offset, length); number: its texts' bytes."""
 
     def run(batches):
-        return _chunk_rows(batches, (batch_number << 48) + (TaskContext.get().partitionId() << 24))
-
-    return run
+        task = TaskContext.get()
+        first, rows, texts, ids, held = (batch_number << 48) + (task.partitionId() << 24), [], [], [], 0
+        store, base = opened(folder)
+        name, out = f"part-{task.partitionId()}-{task.taskAttemptId()}", None
+
+        def put():
+            nonlocal out, texts, ids, held
+            if out is None:
+                store.create_dir(base, recursive=True)
+                out = store.open_output_stream(f"{base}/{name}")
+            lengths = np.array([len(t) for t in texts], "<i8").tobytes()
+            null = np.array([i is None for i in ids], "u1").tobytes()
+            keys = np.array([i or 0 for i in ids], "<i8").tobytes()
+            data = len(ids).to_bytes(8, "little") + keys + null + lengths + zstandard.ZstdCompressor(level=1).compress(b"".join(texts))
+            at = out.tell()
+            out.write(data)
+            rows.append((first + len(rows), 0, held, json.dumps([f"{folder}/{name}", at, len(data)]).encode()))
+            texts, ids, held = [], [], 0
 
+        for batch in batches:
+            for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text")):
+                data = b"" if not text.is_valid else text.as_buffer().to_pybytes()
+                if texts and held + len(data) > CHUNK_BYTES:
+                    put()
+                texts.append(data)
+                ids.append(doc)
+                held += len(data)
+        if texts:
+            put()
+        if out is not None:
+            out.close()
+        types = (pa.int64(), pa.int32(), pa.int64(), pa.binary())
+        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], names=["chunk", "kind", "number", "data"])
 
-def _chunk_rows(batches, first: int):
-    n, texts, ids, held = 0, [], [], 0
-
-    def emit():
-        nonlocal n, texts, ids, held
-        lengths = np.array([len(t) for t in texts], "<i8").tobytes()
-        null = np.array([i is None for i in ids], "u1").tobytes()
-        keys = np.array([i or 0 for i in ids], "<i8").tobytes()
-        body = zstandard.ZstdCompressor(level=1).compress(b"".join(texts))
-        data = len(ids).to_bytes(8, "little") + keys + null + lengths + body
-        row = pa.RecordBatch.from_arrays(
-            [pa.array([first + n]), pa.array([0], pa.int32()), pa.array([held]), pa.array([data], pa.binary())], names=["chunk", "kind", "number", "data"]
-        )
-        n, texts, ids, held = n + 1, [], [], 0
-        return row
-
-    for batch in batches:
-        for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text")):
-            data = b"" if not text.is_valid else text.as_buffer().to_pybytes()
-            if texts and held + len(data) > CHUNK_BYTES:
-                yield emit()
-            texts.append(data)
-            ids.append(doc)
-            held += len(data)
-    if texts:
-        yield emit()
+    return run
 
 
 class Chunk:
     """ids, lengths, ends and the bytes of a chunk, with the strings it holds and their anchors."""
 
-    def __init__(self, data: bytes):
+    def __init__(self, place: bytes):
+        path, at, size = json.loads(place)
+        store, name = opened(path)
+        with store.open_input_file(name) as file:
+            data = file.read_at(size, at)
         n = int.from_bytes(data[:8], "little")
         self.ids = np.frombuffer(data, "<i8", n, 8)
         self.null = np.frombuffer(data, "u1", n, 8 + 8 * n)
@@ -471,7 +482,7 @@ class Family:
 
     def __init__(self, spark: SparkSession, folder: str, shards: int | None = None, stored: bool = True):
         self.spark, self.folder, self.stored = spark, folder, stored
-        self.state = self._load() or {"shards": shards, "bytes": 0, "batches": 0, "chunks": [], "marks": [], "levels": []}
+        self.state = self._load() or {"shards": shards, "bytes": 0, "batches": 0, "chunks": [], "marks": [], "levels": [], "texts": []}
 
     def _path(self):
         jvm = self.spark.sparkContext._jvm
@@ -496,11 +507,16 @@ class Family:
     def _read(self, paths: list[str], schema: str) -> DataFrame:
         return self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
 
+    def _tasks(self, n_bytes: int) -> int:
+        """Tasks for chunks of so many bytes: the rows that are dealt are only their places, so their own size says nothing."""
+        return max(parallelism(self.spark), int(n_bytes // TASK_BYTES) + 1)
+
     def add(self, docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> None:
         """Take a batch: its strings are looked for in itself and in all earlier batches, and theirs in it."""
         state = self.state
         rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-        path = self._kept(rows.mapInArrow(_chunks(state["batches"]), MESSAGE), "chunks")
+        texts = scratch(self.spark, "suffix-texts") if not self.stored else f"{self.folder}/texts-{state['batches']}"
+        path = self._kept(rows.mapInArrow(_chunks(texts, state["batches"]), MESSAGE), "chunks")
         chunks = self._read([path], MESSAGE)
         size = chunks.agg(F.sum("number")).first()[0] or 0
         total, shards = state["bytes"] + size, state["shards"] or max(16, int(size // SHARD_BYTES) + 1)
@@ -509,10 +525,10 @@ class Family:
         while merged < len(levels) and levels[merged]["batches"] == new:
             new += levels[merged]["batches"]
             merged += 1
-        asked = chunks.select("chunk", "data").mapInArrow(_send_anchors(shards), ASKED)
+        asked = chunks.select("chunk", "data").repartition(self._tasks(size)).mapInArrow(_send_anchors(shards), ASKED)
         for number, level in enumerate(levels):
-            found = self._read([level["path"]], MESSAGE).where("kind = 4")
-            asked = asked.unionByName(found.select(F.col("chunk").alias("shard"), F.lit(number).cast("long").alias("chunk"), F.lit(1).alias("kind"), "data"))
+            entries = self._read([level["path"]], MESSAGE).where("kind = 4")
+            asked = asked.unionByName(entries.select(F.col("chunk").alias("shard"), F.lit(number).cast("long").alias("chunk"), F.lit(1).alias("kind"), "data"))
         most = max(COMMON, int(total // ANCHOR_BYTES) // MOST_COMMON)
         answers = self._kept(asked.groupBy("shard").applyInArrow(_answer_anchors(most, merged if self.stored else None), MESSAGE), "anchors")
         known = self._read([answers], MESSAGE)
@@ -523,23 +539,24 @@ class Family:
             old = self._read(state["chunks"], MESSAGE)
             heard = staged(told.select("chunk").distinct(), "suffix-heard")
             chunks = chunks.unionByName(join_checked(old, heard, ["chunk"], "left_semi"))
-        contexts = self._kept(chunks.unionByName(told).groupBy("chunk").applyInArrow(_send_contexts(common), CONTEXT), "contexts")
-        contexts = self._read([contexts], CONTEXT)
-        distinct = contexts.groupBy("h", "digest", "text").agg(F.sum(F.octet_length("places") / 8).cast("long").alias("n"))
+        contexts = self._kept(chunks.unionByName(told).repartition(self._tasks(total), "chunk").groupBy("chunk").applyInArrow(_send_contexts(common), CONTEXT), "contexts")
+        found = self._read([contexts], CONTEXT)
+        distinct = found.groupBy("h", "digest", "text").agg(F.sum(F.octet_length("places") / 8).cast("long").alias("n"))
         replies = staged(distinct.withColumn("shard", F.pmod("h", F.lit(shards))).groupBy("shard").applyInArrow(_match, REPLY), "suffix-replies")
-        marks = join_checked(contexts.select("chunk", "h", "digest", "places"), replies, ["h", "digest"], "inner")
+        marks = join_checked(found.select("chunk", "h", "digest", "places"), replies, ["h", "digest"], "inner")
         marks = marks.select("chunk", F.lit(3).alias("kind"), (-F.col("size")).alias("number"), F.concat("places", "bits").alias("data"))
         self.state = {
             "shards": shards, "bytes": total, "batches": state["batches"] + 1, "chunks": [*state["chunks"], path], "marks": [*state["marks"], self._kept(marks, "marks")],
-            "levels": [{"batches": new, "path": answers}, *levels[merged:]],
+            "levels": [{"batches": new, "path": answers}, *levels[merged:]], "texts": [*state["texts"], texts],
         }
+        drop_path(self.spark, contexts)
         if self.stored:
             self._save()
 
     def result(self, keep_text: bool = False) -> DataFrame:
         """One row per row of all batches: doc_id, n_bytes, n_removed, n_spans, kept_sha256 (, kept_bytes)."""
         parts = self._read(self.state["chunks"], MESSAGE).unionByName(self._read(self.state["marks"], MESSAGE))
-        return parts.groupBy("chunk").applyInArrow(_finish(keep_text), RESULT + (", kept_bytes binary" if keep_text else ""))
+        return parts.repartition(self._tasks(self.state["bytes"]), "chunk").groupBy("chunk").applyInArrow(_finish(keep_text), RESULT + (", kept_bytes binary" if keep_text else ""))
 
 
 def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", keep_text: bool = False) -> DataFrame:
@@ -547,7 +564,7 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     family = Family(docs.sparkSession, scratch(docs.sparkSession, "suffix"), stored=False)
     family.add(docs, doc_id, text)
     out = staged(family.result(keep_text), "suffix-result")
-    for path in (*family.state["chunks"], *family.state["marks"], *(x["path"] for x in family.state["levels"])):
+    for path in (*family.state["texts"], *family.state["chunks"], *family.state["marks"], *(x["path"] for x in family.state["levels"])):
         drop_path(docs.sparkSession, path)
     return out
 

@@ -25,12 +25,11 @@ import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyarrow import fs as pafs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import drop_path, join_checked, scratch, staged
+from .common import drop_path, join_checked, opened, scratch, staged
 
 FILE_BYTES = 32_000_000
 DATE = "2024-01-01T00:00:00Z"
@@ -74,12 +73,6 @@ def record(page_id: int | None, url: str | None, payload: bytes, refers_to: int
     return packer.compress(text + body + b"\r\n\r\n") + packer.flush()
 
 
-def opened(uri: str) -> tuple[pafs.FileSystem, str]:
-    """The file system and path of a URI as Hadoop writes it, for tasks."""
-    uri = re.sub(r"^file:/+", "file:///", uri)
-    return pafs.FileSystem.from_uri("s3" + uri[3:] if uri.startswith("s3a:") else uri)
-
-
 def _writer(folder: str, most: int):
     def run(batches):
         store, base = opened(folder)
