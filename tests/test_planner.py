@@ -5,7 +5,7 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 
 from tidelog.functions import names
-from tidelog.operators.writers import cut
+from tidelog.operators.writers import chunks
 from tidelog.plans import planner, policy
 from tidelog.plans.shuffle import exact_order
 
@@ -46,13 +46,13 @@ def test_golden_orders():
 
 
 def test_tails():
-    assert cut(list(range(10)), 4, "wrap") == [[0, 1, 2, 3], [4, 5, 6, 7], [8, 9, 0, 1]]
-    assert cut(list(range(10)), 4, "drop") == [[0, 1, 2, 3], [4, 5, 6, 7]]
-    assert cut([0, 1, 2], 8, "wrap") == [[0, 1, 2, 0, 1, 2, 0, 1]]
+    assert list(chunks(list(range(10)), 4, "wrap")) == [[0, 1, 2, 3], [4, 5, 6, 7], [8, 9, 0, 1]]
+    assert list(chunks(list(range(10)), 4, "drop")) == [[0, 1, 2, 3], [4, 5, 6, 7]]
+    assert list(chunks([0, 1, 2], 8, "wrap")) == [[0, 1, 2, 0, 1, 2, 0, 1]]
     with pytest.raises(ValueError):
-        cut(list(range(10)), 4, "error")
+        list(chunks(list(range(10)), 4, "error"))
     with pytest.raises(ValueError):
-        cut([1], 1, "other")
+        chunks([1], 1, "other")
 
 
 def test_lanes_of_a_plan(spark):

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tidelog import cli
 from tidelog.config import Config, load, with_overrides
-from tidelog.operators.writers import BatchWriter, distinct_refs
+from tidelog.operators.writers import distinct_refs, write_batch
 from tidelog.sources import audit, blocks
 from tidelog.sources.datasource import register
 from tidelog.sources.log import BlockLog, Ref
@@ -103,12 +103,12 @@ def test_blocks(store, spark):
 def test_batch_writer(store, spark):
     log, refs = BlockLog.create(store, 4, 7), make(store, 10)
     with pytest.raises(ValueError):
-        BatchWriter(log, refs + refs[:1])
+        write_batch(log, refs + refs[:1])
     with pytest.raises(ValueError):
-        BatchWriter(log, refs, 1, "error").run()
+        write_batch(log, refs, 1, "error")
     with pytest.raises(ValueError):
-        BatchWriter(log, refs[:3], 1, "drop").run()
-    done = BatchWriter(log, refs, 2, "wrap", spark).run()
+        write_batch(log, refs[:3], 1, "drop")
+    done = write_batch(log, refs, 2, "wrap", spark)
     assert [s.pass_idx for s in done] == [0, 0, 0, 1, 1, 1] and log.ended() and [r.block_id for r in distinct_refs(done)] == [r.block_id for r in refs]
 
 
@@ -166,3 +166,72 @@ def test_cli(store, capsys):
     assert cli.main(["log-ls", store.uri, "-v"]) == 0 and "b0001" in capsys.readouterr().out
     assert cli.main(["log-ls", store.uri + "x"]) == 1 and "no log" in capsys.readouterr().err
     assert cli.main(["inspect", store.uri, "run"]) == 1
+
+
+def test_object_stores_have_two_names(monkeypatch):
+    from tidelog.sources.storage import S3Access
+
+    for name in ("S3_ENDPOINT", "S3_REGION", "S3_ACCESS_KEY", "S3_SECRET_KEY"):
+        monkeypatch.delenv(name, raising=False)
+    store = Store.at("s3a://bucket/a/")
+    assert store == Store.at("s3://bucket/a") and (store.uri, store.path("x")) == ("s3://bucket/a", "s3a://bucket/a/x") and store.s3 == S3Access()
+    monkeypatch.setenv("S3_ENDPOINT", "http://host:9000")
+    monkeypatch.setenv("S3_ACCESS_KEY", "k")
+    monkeypatch.setenv("S3_SECRET_KEY", "s")
+    found = Store.at("s3://bucket/a").s3
+    assert found.for_arrow() == {"access_key": "k", "secret_key": "s", "endpoint_override": "host:9000", "scheme": "http", "region": "auto"}
+    assert found.for_spark()["spark.hadoop.fs.s3a.endpoint"] == "http://host:9000" and found.for_spark()["spark.hadoop.fs.s3a.access.key"] == "k"
+    assert S3Access(anonymous=True).for_arrow() == {"anonymous": True} and S3Access("h").for_arrow()["scheme"] == "https"
+    with pytest.raises(ValueError):
+        Store.at("s3://")
+
+
+def test_lines_of_a_trail_are_on_disk_at_once(store, spark):
+    w = audit.AuditWriter(store, "r", 0, 0)
+    w.append({"attempt": 0, "rank": 0, "world_size": 1, "segment": 0, "step": 0, "position": 0, "block_id": "b", "ts": 1.0})
+    assert audit.read_audit(spark, store, "r").count() == 1  # not closed, not flushed
+    again = audit.AuditWriter(store, "r", 0, 0)
+    again.append({"attempt": 0, "rank": 0, "world_size": 1, "segment": 0, "step": 1, "position": 1, "block_id": "c", "ts": 2.0})
+    again.close()
+    w.close()
+    assert [r.step for r in audit.ordinals(audit.read_audit(spark, store, "r")).orderBy("ordinal").collect()] == [0, 1]
+    assert audit.next_attempt(store, "r") == 1
+
+
+def test_only_named_blocks_are_opened(store, spark):
+    log, refs = BlockLog.create(store, 2, 7), make(store, 6)
+    log.append(refs[:2])
+    log.append(refs[2:4])
+    store.write("blocks/b0005.parquet", b"broken orphan")
+    assert log.rows(spark).count() == 16 and blocks.read_blocks(spark, store, log.lanes(spark, 0, 2)).count() == 8
+    assert [r.x for r in log.rows(spark, 6).collect()] == sorted((r.x for r in log.rows(spark, 6).collect()), key=lambda x: [b.block_id for b in log.read_segment(0).blocks].index(f"b{int(x) // 4:04d}") * 100 + x)
+
+
+def test_a_segment_file_of_another_log_is_refused(store, spark):
+    log, refs = BlockLog.create(store, 2, 7), make(store, 2)
+    log.append(refs)
+    store.write("log/00000001.json", store.read("log/00000000.json"))
+    with pytest.raises(Exception, match="not a segment of this log"):
+        log.manifest(spark).collect()
+
+
+def test_a_broken_write_is_finished_by_writing_again(store, spark):
+    register(spark)
+    log, refs = BlockLog.create(store, 2, 7), make(store, 6)
+    log.append(sorted(refs, key=lambda r: r.block_id)[:2], 0, {"writer": "datasource"})  # the first segment of a write that broke off
+    rows = spark.createDataFrame([(r.block_id, r.locator, r.num_rows) for r in refs], blocks.REFS)
+    rows.selectExpr("0L as seq", "0L as pass", "0L as pos", "0L as position", "block_id", "locator", "num_rows").write.format("tidelog").mode("append").option("path", store.uri).save()
+    assert sorted(r.block_id for r in log.manifest(spark).collect()) == sorted(r.block_id for r in refs)
+
+
+def test_config_rules():
+    for bad in (
+        {"checkpoint": {"policy": "every_k", "every_k": None}}, {"checkpoint": {"policy": "time"}}, {"scaling": {"num_workers": [1, 2, 3]}}, {"scaling": {"num_workers": [3, 2]}},
+        {"checkpoint": {"num_to_keep": 0}}, {"log": {"wait_poll_s": 0}}, {"parallel": {"outer_lr": 0}}, {"parallel": {"outer_momentum": 1.0}}, {"log": {"W": "x"}}, {"log": 3}, {"log": {"gc": 1}},
+    ):
+        with pytest.raises(ValueError):
+            Config.of(bad)
+    c = Config.of({"storage": {"kind": "s3", "endpoint": "http://h:1"}, "store_root": "bucket/x", "log": {"W": 12}})
+    assert c.store_root == "s3://bucket/x" and c.storage.access().endpoint == "http://h:1" and c.scaling.bounds() == (2, 2) and c.checkpoint.every_k == 4
+    values = {"log": {"W": 4}}
+    assert with_overrides(values, ["log.W=8", "train.a.b=[1]"]) == {"log": {"W": 8}, "train": {"a": {"b": [1]}}} and values == {"log": {"W": 4}}

@@ -44,14 +44,17 @@ def test_tails(tmp_path):
         StreamingWriter(w.log, 0)
 
 
-def test_mixer_restores_from_draws():
-    whole, parts = Mixer(4, 2, 7), []
-    a = [whole.add(i) for i in range(40)]
-    m = Mixer(4, 2, 7)
-    for i in range(40):
-        parts.append(m.add(i))
-        m = Mixer(4, 2, 7, m.draws, m.buffer)
-    assert a == parts
+def test_mixer_goes_on_from_its_state():
+    names = [f"b{i}" for i in range(40)]
+    whole, parts, m = list(Mixer(4, 2, 7).feed(names)), [], Mixer(4, 2, 7)
+    for name in names:
+        parts += m.feed([name])
+        state = m.state()
+        m = Mixer(4, 2, 7)
+        m.restore(state)
+    assert whole == parts and len(whole) == 9 and m.draws == 9
+    with pytest.raises(ValueError):
+        list(m.feed([m.waiting[0]]))
 
 
 def test_stateful_query_equals_the_writer(spark, tmp_path):
@@ -63,7 +66,7 @@ def test_stateful_query_equals_the_writer(spark, tmp_path):
     got = {}
     for r in spark.read.parquet(str(tmp_path / "out")).collect():
         got.setdefault(r.seq, {})[r.slot] = r.block_id
-    ids = [x for m in [Mixer(4, 2, 7)] for i in range(60) if (x := m.add(f"b{i:03d}"))]
+    ids = list(Mixer(4, 2, 7).feed(f"b{i:03d}" for i in range(60)))
     assert sorted(x for s in got.values() for x in s.values()) == sorted(x for s in ids for x in s)
     assert all(sorted(s) == [0, 1, 2, 3] for s in got.values())
 

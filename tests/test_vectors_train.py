@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from tidelog.operators import hooks, mining, probe, train
 from tidelog.plans import policy
-from tidelog.operators.writers import BatchWriter
+from tidelog.operators.writers import write_batch
 from tidelog.sources import audit, blocks
 from tidelog.sources.log import BlockLog, Ref
 from tidelog.sources.storage import Store
@@ -87,7 +87,7 @@ def make(spark, path, n=12, w=6, passes=2):
     store = Store.at(str(path))
     refs = [Ref(*blocks.write_table(store, f"b{i:05d}", regression_rows(16, 3, i))) for i in range(n)]
     log = BlockLog.create(store, w, 7)
-    BatchWriter(log, refs, passes).run()
+    write_batch(log, refs, passes)
     return log
 
 
@@ -121,7 +121,7 @@ def test_sharded_checkpoints(tmp_path):
     points = train.Checkpoints(Store.at(str(tmp_path)), "r", 1)
     name = points.save(train.Ledger(1, 2, 2), [[np.ones(2)], [np.zeros(2)]], {})
     assert points.shape(name) == ("sharded", 2) and len(points.load(name)[1]) == 2
-    points.store.delete(f"r/{name}/shard-00001-of-00002.pkl")
+    points.store.delete(f"r/{name}/shard-00001-of-00002.npz")
     with pytest.raises(FileNotFoundError):
         points.shape(name)
 
@@ -151,3 +151,57 @@ def test_user_function_over_blocks(spark):
     df = spark.range(10).select("id", (F.col("id") % 2).cast("string").alias("block_id"))
     out = train.map_blocks(df, lambda t: pa.table({"n": pa.array([t.num_rows])}), "n long").collect()
     assert [r.n for r in out] == [5, 5]
+
+
+def test_a_failed_attempt_leaves_its_trail_and_is_tried_again(spark, tmp_path):
+    """The third attempt ends the run; trails of all three pass the recovery check."""
+    from tidelog.operators import checks
+
+    log, marker = make(spark, tmp_path / "s"), tmp_path / "failures"
+    marker.mkdir()
+
+    def gradient(params, table, info):
+        if info.position in (9, 20) and not (marker / str(info.position)).exists():
+            (marker / str(info.position)).touch()
+            raise OSError("lost")
+        return train.linear_gradient(params, table, info)
+
+    sizes = iter([2, 3, 2])
+    trainer = train.BlockTrainer(spark, log, [np.zeros(3)], gradient, n=2, policy=policy.EveryKSteps(1))
+    ledger, _ = trainer.fit_again(2, lambda: next(sizes))
+    trail = audit.read_audit(spark, log.store, "run")
+    assert (ledger.run_attempt, ledger.segment) == (2, 3) and trail.select("attempt").distinct().count() == 3
+    assert checks.recovery(trail, log.W, every_k=1, least_attempts=3, segments=4).count() == 0
+    with pytest.raises(Exception, match="never"):
+        train.BlockTrainer(spark, log, [np.zeros(3)], lambda *a: (_ for _ in ()).throw(OSError("never")), run="other").fit_again(1)
+    assert train.worker_count(5, 12, 1, 8) == 4 and train.worker_count(9, 12, 2, 3) == 3
+    with pytest.raises(RuntimeError):
+        train.worker_count(1, 12, 2, 3)
+
+
+def test_ledgers_without_metadata_and_other_agreement(tmp_path):
+    points = train.Checkpoints(Store.at(str(tmp_path)), "r", None)
+    names = [points.save(train.Ledger(s, 2, 2), [[np.ones(2)]], {}) for s in range(3)]
+    points.store.delete(f"r/{names[1]}/.metadata.json")
+    points.store.write(f"r/{names[1]}/model.npz", b"not read")
+    assert points.names() == names and points.middle() == names[1] and points.read_ledger(names[1]) == train.Ledger(1, 2, 2)
+    outer = train.DiLoCo([np.zeros(2)])
+    outer.agree([[np.ones(2)]])
+    points.save(train.Ledger(5, 2, 2), [[np.ones(2)]], outer.state())
+    again = train.DiLoCo([np.zeros(2)])
+    again.restore(points.load(points.last())[2])
+    assert np.allclose(again.anchor[0], outer.anchor[0]) and np.allclose(again.velocity[0], outer.velocity[0])
+    again.reset([np.full(2, 7.0)])
+    assert again.velocity is None and again.anchor[0][0] == 7.0
+    with pytest.raises(ValueError):
+        train.unpacked(train.packed([np.array([{}], dtype=object)]))
+
+
+def test_a_run_from_a_configuration(spark, tmp_path):
+    from tidelog.config import Config
+
+    log = make(spark, tmp_path / "s")
+    config = Config.of({"store_root": log.store.uri, "storage_path": str(tmp_path / "runs"), "run_name": "c", "scaling": {"num_workers": [1, 2]}, "log": {"W": 6}, "train": {"lr": 0.1}, "checkpoint": {"policy": "segment_end"}})
+    trainer = train.trainer_of(spark, config, [np.zeros(3)])
+    ledger, reports = trainer.fit_again(config.failure.max_failures)
+    assert ledger.segment == 3 and len(reports) == 4 and train.Checkpoints(Store.at(str(tmp_path / "runs")), "c").last() is not None

@@ -672,7 +672,7 @@ def log_roundtrip(spark, sf):
 
     The last segment is filled from the head of the order; a block that stands twice is read where it stands first.
     """
-    from .operators.writers import BatchWriter
+    from .operators.writers import write_batch
     from .sources.blocks import read_blocks, write_blocks
     from .sources.log import BlockLog, Ref
     from .sources.storage import Store
@@ -681,6 +681,6 @@ def log_roundtrip(spark, sf):
     rows = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", F.concat(F.lit("b"), F.lpad(block_number().cast("string"), 5, "0")).alias("block_id"))
     refs = [Ref(*r) for r in write_blocks(rows, store).collect()]  # a small row a block
     log = BlockLog.create(store, SEGMENT_BLOCKS, SEED)
-    BatchWriter(log, sorted(refs, key=lambda r: r.block_id), tail="wrap", spark=spark).run()
+    write_batch(log, sorted(refs, key=lambda r: r.block_id), tail="wrap", spark=spark)
     places = log.manifest(spark).groupBy("block_id").agg(F.min(F.struct("position", "seq", "pos")).alias("p")).select("block_id", "p.*")
     return read_blocks(spark, store, places).select("l_orderkey", "l_linenumber", "block_id")

@@ -7,8 +7,9 @@ step is one small job. Parameters are numpy arrays and few; they travel with the
 
 from __future__ import annotations
 
+import io
+import itertools
 import json
-import pickle
 import time
 from collections.abc import Callable
 from dataclasses import asdict, dataclass, field, replace
@@ -21,9 +22,10 @@ from pyspark.sql import functions as F
 
 from ..functions.names import checkpoint_name
 from ..plans import planner
-from ..plans.policy import Policy, SegmentEnd, Step
+from ..plans.policy import Policy, SegmentEnd, Step, build_policy
 from ..sources import blocks as B
 from ..sources.audit import AuditWriter, next_attempt
+from ..sources.loader import Loader
 from ..sources.log import BlockLog
 from ..sources.storage import Store
 from .hooks import run_hooks
@@ -58,9 +60,24 @@ def average(replicas: list[Params]) -> Params:
     return [np.mean(x, axis=0) for x in zip(*replicas)]
 
 
+def packed(arrays: Params) -> bytes:
+    """Arrays as a file that holds nothing else: reading it runs no code."""
+    out = io.BytesIO()
+    np.savez(out, *arrays)
+    return out.getvalue()
+
+
+def unpacked(data: bytes) -> Params:
+    with np.load(io.BytesIO(data), allow_pickle=False) as found:
+        return [found[f"arr_{i}"] for i in range(len(found.files))]
+
+
 class LocalSGD:
     """Replicas take the mean of their parameters at each segment's end."""
 
+    def reset(self, params: Params) -> None:
+        """Begin anew from parameters whose checkpoint has no state of this kind."""
+
     def agree(self, replicas: list[Params]) -> Params:
         return average(replicas)
 
@@ -94,11 +111,14 @@ class DiLoCo:
         self.anchor = [a - self.lr * d for a, d in zip(self.anchor, look)]
         return [a.copy() for a in self.anchor]
 
+    def reset(self, params: Params) -> None:
+        self.anchor, self.velocity = [p.copy() for p in params], None
+
     def state(self) -> dict:
-        return {"anchor": self.anchor, "velocity": self.velocity}
+        return {"anchor": self.anchor} | ({} if self.velocity is None else {"velocity": self.velocity})
 
     def restore(self, state: dict) -> None:
-        self.anchor, self.velocity = state["anchor"], state["velocity"]
+        self.anchor, self.velocity = state["anchor"], state.get("velocity")
 
 
 def build_sync(kind: str, params: Params, lr: float = 0.7, momentum: float = 0.9, nesterov: bool = True):
@@ -168,10 +188,9 @@ class Checkpoints:
 
     def save(self, ledger: Ledger, params: list[Params], sync_state: dict) -> str:
         name = ledger.name()
-        shards = {"model.pkl": params[0]} if len(params) == 1 else {f"shard-{i:05d}-of-{len(params):05d}.pkl": p for i, p in enumerate(params)}
-        for file, value in shards.items():
-            self.store.write(f"{self.run}/{name}/{file}", pickle.dumps(value))
-        self.store.write(f"{self.run}/{name}/sync.pkl", pickle.dumps(sync_state))
+        shards = {"model.npz": params[0]} if len(params) == 1 else {f"shard-{i:05d}-of-{len(params):05d}.npz": p for i, p in enumerate(params)}
+        for file, value in (shards | {f"sync-{k}.npz": v for k, v in sync_state.items()}).items():
+            self.store.write(f"{self.run}/{name}/{file}", packed(value))
         self.store.write(f"{self.run}/{name}/ledger.json", ledger.to_json().encode())
         self.store.write(f"{self.run}/{name}/.metadata.json", json.dumps({"ledger": asdict(ledger), "tidelog": "1"}).encode())
         for old in self.names()[: -self.keep] if self.keep else []:
@@ -180,23 +199,28 @@ class Checkpoints:
         return name
 
     def names(self) -> list[str]:
-        return [n for n in self.ledgers()]
+        return list(self.ledgers())
+
+    def read_ledger(self, name: str) -> Ledger:
+        """From the metadata, else from the ledger's own file; parameters are never read."""
+        try:
+            return Ledger(**json.loads(self.store.read(f"{self.run}/{name}/.metadata.json"))["ledger"])
+        except (OSError, ValueError, KeyError, TypeError):
+            return Ledger.from_json(self.store.read(f"{self.run}/{name}/ledger.json").decode())
 
     def ledgers(self) -> dict[str, Ledger]:
-        """By attempt and place; directories whose metadata can't be read are passed over."""
+        """By attempt and place; directories without a ledger that can be read are passed over."""
         out = {}
         for name in self.store.folders(self.run):
-            if not name.startswith("checkpoint_"):
-                continue
             try:
-                out[name] = Ledger(**json.loads(self.store.read(f"{self.run}/{name}/.metadata.json"))["ledger"])
+                out |= {name: self.read_ledger(name)} if name.startswith("checkpoint_") else {}
             except (OSError, ValueError, KeyError, TypeError):
                 continue
         return dict(sorted(out.items(), key=lambda x: (x[1].run_attempt, x[1].segment, x[1].cursor * x[1].world_size)))
 
     def shape(self, name: str) -> tuple[str, int]:
         files = self.store.names(f"{self.run}/{name}")
-        if "model.pkl" in files:
+        if "model.npz" in files:
             return "full", 1
         shards = [f for f in files if f.startswith("shard-")]
         if not shards:
@@ -208,12 +232,17 @@ class Checkpoints:
 
     def load(self, name: str) -> tuple[Ledger, list[Params], dict]:
         kind, n = self.shape(name)
-        read = lambda f: pickle.loads(self.store.read(f"{self.run}/{name}/{f}"))
-        params = [read("model.pkl")] if kind == "full" else [read(f"shard-{i:05d}-of-{n:05d}.pkl") for i in range(n)]
-        return Ledger.from_json(self.store.read(f"{self.run}/{name}/ledger.json").decode()), params, read("sync.pkl")
+        read = lambda f: unpacked(self.store.read(f"{self.run}/{name}/{f}"))
+        params = [read("model.npz")] if kind == "full" else [read(f"shard-{i:05d}-of-{n:05d}.npz") for i in range(n)]
+        sync = {f[5:-4]: read(f) for f in self.store.names(f"{self.run}/{name}") if f.startswith("sync-")}
+        return self.read_ledger(name), params, sync
 
     def last(self) -> str | None:
-        return self.names()[-1] if self.names() else None
+        return next(reversed(self.names()), None)
+
+    def middle(self) -> str | None:
+        """The checkpoint in the middle of the run's, as restores of an older state want."""
+        return self.names()[len(self.names()) // 2] if self.names() else None
 
     def export(self, name: str, target: Store) -> None:
         for file in self.store.names(f"{self.run}/{name}"):
@@ -241,9 +270,30 @@ class BlockTrainer:
     keep: int | None = 3
     on_report: Callable[[dict], None] | None = None
     stop_after: int | None = None  # steps, as tests use to stop a run
+    prefetch: int = 2  # blocks that a rank reads ahead, and its threads for them
+    threads: int = 2
 
     def fit(self) -> tuple[Ledger, list[dict]]:
-        """Read the log from the last checkpoint to its end; the ledger and the reports."""
+        """Read the log from the last checkpoint to its end; the ledger and the reports. The trail of an attempt that fails is kept."""
+        trails: list[AuditWriter] = []
+        try:
+            return self._fit(trails)
+        finally:
+            for t in trails:
+                t.close()
+
+    def fit_again(self, max_failures: int = 3, workers: Callable[[], int] | None = None) -> tuple[Ledger, list[dict]]:
+        """fit, tried again from the last checkpoint after a failure, so many times. workers: the world size of each attempt, as ranks come and go."""
+        for failures in itertools.count():
+            if workers is not None:
+                self.n = workers()
+            try:
+                return self.fit()
+            except Exception:
+                if failures >= max_failures:
+                    raise
+
+    def _fit(self, trails: list[AuditWriter]) -> tuple[Ledger, list[dict]]:
         planner.steps_per_segment(self.log.W, self.n)
         store = self.runs or self.log.store
         points = Checkpoints(store, self.run, self.keep)
@@ -255,11 +305,11 @@ class BlockTrainer:
             ledger, saved, state = points.load(last)
             replicas = [saved[i % len(saved)] for i in range(len(replicas))]
             if self.sync is not None:
-                self.sync.restore(state)
+                self.sync.restore(state) if state or not self.sync.state() else self.sync.reset(replicas[0])
             seq, step = planner.resume_start(ledger.segment, ledger.cursor, ledger.world_size, self.n, self.log.W)
             run_hooks(self.hooks, self.log, ledger.segment, replicas[0], replay=True) if ledger.cursor * ledger.world_size == self.log.W else None
         ledger = Ledger(seq, step, self.n, 0, attempt)
-        trails = [AuditWriter(store, self.run, attempt, r) for r in range(self.n)]
+        trails += [AuditWriter(store, self.run, attempt, r) for r in range(self.n)]
         metrics, reports, began, done, saved_at = Metrics(), [], time.monotonic(), 0, None
         steps = self.log.W // self.n
         while True:
@@ -283,14 +333,14 @@ class BlockTrainer:
                     fires = self.policy.decide(Step(s, steps, s == steps and self.log.next_pass_differs(segment), time.monotonic() - began))
                     ledger = Ledger(seq, s, self.n, segment.pass_idx, attempt)
                     if fires and s == high:
+                        for t in trails:  # what a checkpoint covers is on record before it
+                            t.flush()
                         saved_at = points.save(ledger, replicas, self.sync.state() if self.sync else {})
                         self.policy.checkpointed(Step(s, steps, False, time.monotonic() - began))
                         reports.append({"checkpoint": saved_at, **metrics.flush()})
                         if self.on_report:
                             self.on_report(reports[-1])
                 if self.stop_after is not None and done >= self.stop_after:
-                    for t in trails:
-                        t.close()
                     self.params = replicas[0]
                     return ledger, reports
             run_hooks(self.hooks, self.log, seq, replicas[0])
@@ -299,45 +349,64 @@ class BlockTrainer:
             seq, step = seq + 1, 0
         if metrics.steps:
             reports.append({"checkpoint": None, **metrics.flush()})
-        for t in trails:
-            t.close()
         self.params, self.replicas = replicas[0], replicas
         return ledger, reports
 
     def _advance(self, segment, low: int, high: int, replicas: list[Params]) -> tuple[list[Params], list[dict]]:
         """Steps low to high of a segment on all ranks; the new replicas and a row for each block."""
-        n, gradient, lr, seed, ddp = self.n, self.gradient, self.lr, self.log.seed, self.kind == "ddp"
-        plan = [(p % n, p // n, segment.seq * segment.W + p, b.block_id, self.log.store.path(b.locator)) for p, b in enumerate(segment.blocks) if low <= p // n < high]
-        schema = "rank long, step long, position long, block_id string, path string"
-        rows = self.spark.createDataFrame(plan, schema)
+        n, gradient, lr, seed, ddp, ahead, threads = self.n, self.gradient, self.lr, self.log.seed, self.kind == "ddp", self.prefetch, self.threads
+        plan = [(p % n, p // n, segment.seq * segment.W + p, b.block_id, b.locator) for p, b in enumerate(segment.blocks) if low <= p // n < high]
+        rows = self.spark.createDataFrame(plan, "rank long, step long, position long, block_id string, locator string")
         store, seq = self.log.store, segment.seq
+        sent = self.spark.sparkContext.broadcast([packed(p) for p in replicas])
+        schema = "rank long, step long, position long, block_id string, metrics string, result binary"
 
         def lane(key: tuple, table: pa.Table) -> pa.Table:
             rank = key[0].as_py()
-            params, out = [p.copy() for p in replicas[rank % len(replicas)]], []
-            grads: Params = []
-            import pyarrow.parquet as pq
-
-            for r in sorted(table.to_pylist(), key=lambda r: r["step"]):
-                filesystem, root = store._open()
-                block = pq.read_table(f"{root}/{r['path'][len(store.uri) + 1:]}", filesystem=filesystem)
+            params, grads = unpacked(sent.value[rank % len(sent.value)]), []
+            out: list[dict] = []
+            items = sorted(table.to_pylist(), key=lambda r: r["step"])
+            for r, block in Loader(lambda r: B.load_block(store, r["locator"]), items, ahead, threads):
                 grads, values = gradient(params, block, Info(rank, n, seq, r["step"], r["position"], seed))
                 if not ddp:
                     params = [p - lr * g for p, g in zip(params, grads)]
-                out.append((rank, r["step"], r["position"], r["block_id"], json.dumps(values), None))
-            out[-1] = (*out[-1][:5], pickle.dumps(grads if ddp else params))
-            return pa.table({k: pa.array([x[i] for x in out], t) for i, (k, t) in enumerate((
-                ("rank", pa.int64()), ("step", pa.int64()), ("position", pa.int64()), ("block_id", pa.string()), ("metrics", pa.string()), ("result", pa.binary())))})
+                out.append({k: r[k] for k in ("rank", "step", "position", "block_id")} | {"metrics": json.dumps(values), "result": None})
+            out[-1]["result"] = packed(grads if ddp else params)
+            types = {"rank": pa.int64(), "step": pa.int64(), "position": pa.int64(), "block_id": pa.string(), "metrics": pa.string(), "result": pa.binary()}
+            return pa.table({k: pa.array([x[k] for x in out], t) for k, t in types.items()})
 
-        found = rows.groupBy("rank").applyInArrow(lane, "rank long, step long, position long, block_id string, metrics string, result binary").collect()  # W rows
+        found = rows.groupBy("rank").applyInArrow(lane, schema).collect()  # W rows
+        sent.destroy()
         found = sorted((r.asDict() for r in found), key=lambda r: (r["rank"], r["step"]))
-        results = [pickle.loads(r["result"]) for r in found if r["result"] is not None]
+        results = [unpacked(r["result"]) for r in found if r["result"] is not None]
         if ddp:
-            mean = average(results)
-            return [[p - lr * g for p, g in zip(replicas[0], mean)]], found
+            return [[p - lr * g for p, g in zip(replicas[0], average(results))]], found
         return results, found
 
 
+def worker_count(available: int, w: int, low: int, high: int) -> int:
+    """The most ranks in a range that there are places for; the log's W has been checked against the whole range."""
+    n = min(high, available)
+    if n < low:
+        raise RuntimeError(f"{available} workers are available, {low} are needed")
+    return max(k for k in range(low, n + 1) if w % k == 0)
+
+
+def trainer_of(spark: SparkSession, config, params: Params, gradient: Gradient = linear_gradient, **more) -> BlockTrainer:
+    """A trainer as a Config says: log, ranks, agreement, policy, hooks, retention and reading ahead. fit_again(config.failure.max_failures) runs it."""
+    from .hooks import build_hooks
+
+    ck, par = config.checkpoint, config.parallel
+    log = BlockLog.open(Store.at(config.store_root, config.storage.access()))
+    low, high = config.scaling.bounds()
+    sync = build_sync(par.kind, params, par.outer_lr, par.outer_momentum, par.outer_nesterov)
+    return BlockTrainer(
+        spark, log, params, gradient, n=worker_count(spark.sparkContext.defaultParallelism, log.W, low, high), lr=float(config.train.get("lr", 0.05)), kind=par.kind, sync=sync,
+        policy=build_policy(ck.policy, ck.every_k, ck.time_budget_s, ck.time_poll_every), runs=Store.at(config.storage_path, config.storage.access()), run=config.run_name,
+        hooks=tuple(build_hooks(config)), retention=config.log.retention_segments if config.log.gc else None, keep=ck.num_to_keep, prefetch=config.loader.prefetch, threads=config.loader.threads, **more,
+    )
+
+
 def map_blocks(rows: DataFrame, fn: Callable[[pa.Table], pa.Table], schema: str, by: str = "block_id") -> DataFrame:
     """A user function over each block's rows, as Arrow tables."""
 

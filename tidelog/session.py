@@ -25,8 +25,10 @@ def builder(name: str = "tidelog", master: str | None = None) -> SparkSession.Bu
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new folder that driver and executors share: under spark.checkpoint.dir, or one of our own where that is unset, as in tests."""
+    """A new folder that driver and executors share: under spark.checkpoint.dir, or one of our own where that is unset and the master is local."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not base and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
     base = base or f"file://{tempfile.mkdtemp(prefix='tidelog-')}"
     return f"{base.rstrip('/')}/tidelog/{name}-{uuid.uuid4().hex}"
 

@@ -38,33 +38,43 @@ def next_attempt(store: Store, run: str) -> int:
 
 
 class AuditWriter:
-    """A rank's trail, in parts of at most part_lines lines; each flush rewrites the open part whole."""
+    """A rank's trail. In a local folder every line is on disk when append returns; elsewhere files can't grow, so the trail is in parts
+    of at most part_lines lines, and a flush rewrites the open part."""
 
     def __init__(self, store: Store, run: str, attempt: int, rank: int, part_lines: int = PART_LINES):
-        self.store, self.run, self.attempt, self.rank, self.part_lines = store, run, attempt, rank, part_lines
-        self.part, self.lines, self.closed = 0, [], False
+        self.store, self.part_lines, self.lines, self.closed = store, part_lines, [], False
+        self.name = lambda part: f"audit/{run}/{audit_file(attempt, rank, part)}"
+        taken = [int(m[3] or 0) for n in store.names(f"audit/{run}") if (m := AUDIT_FILE.match(n)) and (int(m[1]), int(m[2])) == (attempt, rank)]
+        self.part = max(taken) + 1 if taken else 0
         self._put()  # claims the attempt
+        path = store.local_path(self.name(self.part))
+        self.file = open(path, "a", encoding="utf-8") if path else None
 
     def _put(self) -> None:
-        data = "".join(line + "\n" for line in self.lines).encode()
-        self.store.write(f"audit/{self.run}/{audit_file(self.attempt, self.rank, self.part)}", data)
+        self.store.write(self.name(self.part), "".join(line + "\n" for line in self.lines).encode())
 
     def append(self, record: dict) -> None:
         if self.closed:
             raise ValueError("the trail is closed")
-        self.lines.append(json.dumps({f.name: record[f.name] for f in S.AUDIT.fields}, sort_keys=True))
+        line = json.dumps({f.name: record[f.name] for f in S.AUDIT.fields}, sort_keys=True)
+        if self.file:
+            self.file.write(line + "\n")
+            self.file.flush()
+            return
+        self.lines.append(line)
         if len(self.lines) >= self.part_lines:
             self._put()
             self.part, self.lines = self.part + 1, []
 
     def flush(self) -> None:
-        if self.lines:
+        if self.lines and not self.closed:
             self._put()
 
     def close(self) -> None:
-        if not self.closed:
-            self.flush()
-            self.closed = True
+        self.flush()
+        if self.file and not self.closed:
+            self.file.close()
+        self.closed = True
 
 
 def write_audit(records: DataFrame, store: Store, run: str) -> int:

@@ -46,14 +46,29 @@ def read_block(spark: SparkSession, store: Store, locator: str) -> DataFrame:
     return spark.read.parquet(store.path(check_locator(locator)))
 
 
-def read_blocks(spark: SparkSession, store: Store, manifest: DataFrame, schema=None) -> DataFrame:
+def load_block(store: Store, locator: str) -> pa.Table:
+    """One block as an Arrow table, for tasks."""
+    with store.open_input(check_locator(locator)) as file:
+        return pq.read_table(file)
+
+
+#: Up to so many files are named to the reader one by one; for more the folder is read, and the join drops other blocks.
+MOST_NAMED = 100_000
+
+
+def read_blocks(spark: SparkSession, store: Store, manifest: DataFrame, schema=None, row: str | None = None) -> DataFrame:
     """The rows of the manifest's blocks with seq, pos and position. Files are read once; a block that stands twice gives its rows twice.
 
-    The manifest is a row a block and is joined to the rows by block_id; Spark broadcasts it while it is small.
+    Only files that the manifest names are opened. The manifest is a row a block and is joined to the rows by block_id; Spark broadcasts it
+    while it is small. row: a column for a row's number in its file.
     """
     reader = spark.read if schema is None else spark.read.schema(schema)
     places = manifest.select("seq", "pos", "position", "block_id")
-    return reader.parquet(store.path("blocks")).join(places, "block_id")
+    files = [store.path(check_locator(r[0])) for r in manifest.select("locator").distinct().limit(MOST_NAMED + 1).collect()]
+    found = reader.parquet(*sorted(files)) if 0 < len(files) <= MOST_NAMED else reader.parquet(store.path("blocks"))
+    if row is not None:
+        found = found.select("*", F.col("_metadata.row_index").alias(row))
+    return found.join(places, "block_id")
 
 
 def footers(refs: DataFrame, store: Store) -> DataFrame:
@@ -64,8 +79,7 @@ def footers(refs: DataFrame, store: Store) -> DataFrame:
             found, problems = [], []
             for locator in batch.column("locator").to_pylist():
                 try:
-                    filesystem, root = store._open()
-                    with filesystem.open_input_file(f"{root}/{check_locator(locator)}") as f:
+                    with store.open_input(check_locator(locator)) as f:
                         found.append(pq.read_metadata(f).num_rows)
                     problems.append(None)
                 except Exception as e:  # what is wrong with a file is the answer here

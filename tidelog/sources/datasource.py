@@ -99,12 +99,18 @@ class SegmentWriter(DataSourceWriter):
         return Written([(r.block_id, r.locator, r.num_rows) for r in iterator])
 
     def commit(self, messages):
+        """A segment is committed in one step, several aren't: a write that broke off among them is finished by writing the same blocks again.
+
+        Segments that the source committed before with the same blocks and pass are passed over, so nothing is repeated.
+        """
         log = BlockLog.open(Store.at(self.path))
         refs = sorted(r for m in messages if m for r in m.refs)
         if len(refs) % log.W:
             raise ValueError(f"{len(refs)} blocks are no multiple of W={log.W}")
+        done = {frozenset(b.block_id for b in s.blocks) for s in map(log.read_segment, log.seqs()) if s.pass_idx == self.pass_idx and s.meta.get("writer") == "datasource"}
         for i in range(0, len(refs), log.W):
-            log.append([Ref(*r) for r in refs[i : i + log.W]], self.pass_idx, {"writer": "datasource"})
+            if frozenset(r[0] for r in refs[i : i + log.W]) not in done:
+                log.append([Ref(*r) for r in refs[i : i + log.W]], self.pass_idx, {"writer": "datasource"})
 
     def abort(self, messages):
         pass  # blocks without a committed segment are never read

@@ -9,6 +9,7 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from .. import schema as S
 from ..functions.names import SEGMENT_FILE, segment_file
@@ -128,7 +129,11 @@ class BlockLog:
         """A row for each committed segment. Temporary and hidden files don't match the pattern."""
         if not self.seqs():
             return spark.createDataFrame([], S.SEGMENT)
-        return spark.read.schema(S.SEGMENT).option("pathGlobFilter", "[0-9]*.json").json(self.store.path("log"))
+        rows = spark.read.schema(S.SEGMENT).option("pathGlobFilter", "[0-9]*.json").json(self.store.path("log"))
+        named = F.regexp_extract(F.col("_metadata.file_name"), r"^(\d{8})\.json$", 1).cast("long")
+        right = named.eqNullSafe(F.col("seq")) & F.col("W").eqNullSafe(F.lit(self.W)) & (F.size("blocks") == self.W) & F.col("schema_version").eqNullSafe(F.lit(S.SCHEMA_VERSION))
+        wrong = F.raise_error(F.concat(F.lit("not a segment of this log: "), F.col("_metadata.file_name")))
+        return rows.withColumn("seq", F.when(right, F.col("seq")).otherwise(wrong.cast("long")))
 
     def manifest(self, spark: SparkSession) -> DataFrame:
         """A row for each position of the committed segments."""
@@ -154,10 +159,13 @@ class BlockLog:
 
     def rows(self, spark: SparkSession, limit: int | None = None) -> DataFrame:
         """Rows of the log's blocks in log order; a limit takes the first ones, from the oldest segment on."""
-        found = B.read_blocks(spark, self.store, self.manifest(spark))
+        manifest = self.manifest(spark)
         if limit is None:
-            return found
-        return found.withColumn("_row", F.monotonically_increasing_id()).orderBy("position", "_row").limit(limit).drop("_row")
+            return B.read_blocks(spark, self.store, manifest)
+        # blocks up to the one that reaches the limit; a log's manifest is a row a block
+        order = W.orderBy("position").rowsBetween(W.unboundedPreceding, -1)
+        first = manifest.withColumn("before", F.coalesce(F.sum("num_rows").over(order), F.lit(0))).where(F.col("before") < limit)
+        return B.read_blocks(spark, self.store, first, row="_row").orderBy("position", "_row").limit(limit).drop("_row")
 
     # ---- writing ----
 
