@@ -205,3 +205,50 @@ def test_a_run_from_a_configuration(spark, tmp_path):
     trainer = train.trainer_of(spark, config, [np.zeros(3)])
     ledger, reports = trainer.fit_again(config.failure.max_failures)
     assert ledger.segment == 3 and len(reports) == 4 and train.Checkpoints(Store.at(str(tmp_path / "runs")), "c").last() is not None
+
+
+def test_a_log_that_a_hook_began(spark, tmp_path):
+    vectors, cluster = gaussian_corpus(16, 4, 4, 3)
+    store = Store.at(str(tmp_path / "s"))
+    hook = hooks.RemineHook(spark, (np.arange(16), cluster, vectors), lambda m, v: v * m, batch=4, k=2, segments=3)
+    log = hooks.ensure_blocks(store, lambda: hooks.initial_log(store, 2, 7, hook, 2))
+    assert log.seqs() == [0, 1] and not log.ended() and {log.read_segment(s).meta["space"] for s in (0, 1)} == {"input"}
+    assert hooks.ensure_blocks(store, lambda: 1 / 0).seqs() == [0, 1]
+    hook.on_segment_end(log, 1, np.float32(2.0))
+    assert log.seqs() == [0, 1, 2] and log.read_segment(2).meta["mined_after_segment"] == 1
+    assert hooks.remine_args({"remine": {"entry": "m:f", "k": 2}}) == {"k": 2} and hooks.remine_args({"a": "m:f"}) is None
+    train.Checkpoints(store, "run").save(train.Ledger(0, 1, 1), [[np.zeros(1)]], {})
+    audit.AuditWriter(store, "run", 0, 0).close()
+    assert hooks.reset_run(store, "run") == 4 and train.Checkpoints(store, "run").last() is None and audit.next_attempt(store, "run") == 0 and log.seqs() == [0, 1, 2]
+    for bad in ("", "log", "a/b"):
+        with pytest.raises(ValueError):
+            hooks.reset_run(store, bad)
+
+
+def test_png(tmp_path):
+    from tidelog.functions import images
+
+    g = np.random.default_rng(0)
+    pixels = [g.integers(0, 256, shape, dtype=np.uint8) for shape in ((5, 7), (4, 3, 3), (1, 1), (9, 2, 3))]
+    for x in pixels:
+        assert (images.decode_png(images.encode_png(x)) == x).all()
+    # rows with each of the five filters, filtered here by their definitions
+    import zlib
+
+    x = pixels[1].astype(int)
+    up, left = np.vstack([np.zeros((1, 3, 3), int), x[:-1]]), np.concatenate([np.zeros((4, 1, 3), int), x[:, :-1]], axis=1)
+    corner = np.vstack([np.zeros((1, 3, 3), int), left[:-1]])
+    p = left + up - corner
+    near = np.where((abs(p - left) <= abs(p - up)) & (abs(p - left) <= abs(p - corner)), left, np.where(abs(p - up) <= abs(p - corner), up, corner))
+    for how, rest in enumerate([0 * x, left, up, (left + up) // 2, near]):
+        raw = b"".join(bytes([how]) + bytes(((x - rest) % 256)[y].ravel().tolist()) for y in range(4))
+        head = images.encode_png(pixels[1])
+        data = head[:33] + images._part(b"IDAT", zlib.compress(raw)) + images._part(b"IEND", b"")
+        assert (images.decode_png(data) == pixels[1]).all()
+    table = images.images_table(np.stack([pixels[0]] * 2), np.array([1, 2]), np.array([5, 6]))
+    assert (images.decode_column(table)[1] == pixels[0]).all()
+    for bad in (b"x", images.encode_png(pixels[0])[:-20] + b"y" * 20):
+        with pytest.raises(ValueError):
+            images.decode_png(bad)
+    with pytest.raises(ValueError):
+        images.encode_png(np.zeros((2, 2)))

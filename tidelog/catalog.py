@@ -6,6 +6,7 @@ plan dealt to ranks with faults put in, arrivals are events, the corpus of vecto
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -282,6 +283,11 @@ def policy_every_k(spark, sf):
     return _fires(spark, sf, "every_k", 3)
 
 
+@query(f"WITH {_STEPS} SELECT place, false AS fires FROM steps")
+def policy_never(spark, sf):
+    return _fires(spark, sf, "never")
+
+
 @query(f"WITH {_STEPS} SELECT place, step = 4 AS fires FROM steps")
 def policy_segment_end(spark, sf):
     return _fires(spark, sf, "segment_end")
@@ -448,6 +454,18 @@ def check_time_spacing(spark, sf):
     return checks.time_spacing(ledgers(spark, sf), SEGMENT_BLOCKS, 2)
 
 
+@query(f"""WITH {_LEDGERS}, f AS (SELECT segment, CASE WHEN segment % 4 = 1 THEN 4 ELSE 3 END AS n, CASE WHEN segment % 5 = 2 THEN 0 WHEN segment % 7 = 3 THEN 9 ELSE "cursor" END AS c FROM ledgers),
+x AS (SELECT *, segment * 12 + c * n AS place FROM f), g AS (SELECT *, lag(place) OVER (ORDER BY place) AS before FROM x), t AS (SELECT count(*) AS n, count(DISTINCT x.n) AS sizes, min(x.n) AS least FROM x)
+{_problem("time_spacing", "n", "'fewer than two checkpoints'", "t WHERE n < 2")} UNION ALL {_problem("time_spacing", "sizes", "'several world sizes'", "t WHERE sizes > 1")} UNION ALL
+{_problem("time_spacing", "place", "'closer than the poll to ' || before", "g WHERE place - before < 2 * (SELECT least FROM t)")} UNION ALL
+{_problem("time_spacing", "place", "'not a step boundary'", "x WHERE c <= 0 OR c * n > 12")} UNION ALL {_problem("time_spacing", "n", "'1 reports'", "t WHERE n NOT IN (0, 1)")}""")
+def check_time_spacing_faults(spark, sf):
+    """Checkpoints of several world sizes, off the steps, too close, and too few reports."""
+    n = F.when(F.col("segment") % 4 == 1, 4).otherwise(RANKS).cast("long")
+    cursor = F.when(F.col("segment") % 5 == 2, 0).when(F.col("segment") % 7 == 3, 9).otherwise(F.col("cursor")).cast("long")
+    return checks.time_spacing(ledgers(spark, sf).withColumns({"world_size": n, "cursor": cursor}), SEGMENT_BLOCKS, 2, 1)
+
+
 @query(f"""WITH {_FAULTY} SELECT segment, round(min(ts), 6) AS "start", round(max(ts), 6) AS stop, round(min(ts) - lag(min(ts)) OVER (ORDER BY segment), 6) AS gap FROM records GROUP BY segment""")
 def segment_gaps(spark, sf):
     return checks.segment_gaps(faulty(spark, sf)).select("segment", *[F.round(c, 6).alias(c) for c in ("start", "stop", "gap")])
@@ -487,21 +505,31 @@ def check_retention(spark, sf):
     return checks.retention(kept.drop("pos"), files, 5, 2)
 
 
-@query(f"""WITH {_plan()}, {_trail(name="records")},
-used AS (SELECT segment, min(ts) AS first_ts FROM records GROUP BY 1), e AS (SELECT segment + 1 AS segment, max(ts) AS end0 FROM records WHERE rank = 0 GROUP BY 1),
-log AS (SELECT DISTINCT seq AS segment, CASE WHEN seq % 6 = 5 THEN 'batch' ELSE 'remine' END AS writer, CASE WHEN seq % 4 = 3 THEN seq * 10 - 6.9 ELSE seq * 10 - 0.5 END AS created FROM plan WHERE seq <> 8),
+@query(f"""WITH {_plan()}, {_trail(name="good")},
+records AS (SELECT * REPLACE (CASE WHEN segment % 7 = 6 AND position % 12 = 0 THEN (SELECT block_id FROM plan WHERE position = 0) ELSE block_id END AS block_id) FROM good),
+used AS (SELECT segment, min(ts) AS first_ts, list_sort(list_distinct(list(block_id))) AS ids FROM records GROUP BY 1), e AS (SELECT segment + 1 AS segment, max(ts) AS end0 FROM records WHERE rank = 0 GROUP BY 1),
+log AS (SELECT seq AS segment, CASE WHEN seq % 6 = 5 THEN 'batch' ELSE 'remine' END AS writer, CASE WHEN seq % 4 = 3 THEN seq * 10 - 6.9 WHEN seq % 4 = 1 THEN seq * 10 + 0.5 ELSE seq * 10 - 0.5 END AS created,
+  list_sort(list_distinct(list(CASE WHEN seq % 5 = 4 AND pos = 1 THEN 'zzz' ELSE block_id END))) AS own FROM plan WHERE seq <> 8 GROUP BY seq),
 r AS (SELECT * FROM used LEFT JOIN log USING (segment) LEFT JOIN e USING (segment))
 {_happy()} UNION ALL {_problem("hook", "segment", "'consumed but not in the log'", "r WHERE writer IS NULL")} UNION ALL
 {_problem("hook", "segment", "'not written by the hook after the segment before'", "r WHERE segment >= 2 AND writer <> 'remine'")} UNION ALL
-{_problem("hook", "segment", "'committed before the segment before was done'", "r WHERE segment >= 2 AND created <= first_ts + 0.05 AND created + 0.05 < end0")}""")
+{_problem("hook", "segment", "'committed after its first use'", "r WHERE segment >= 2 AND created > first_ts + 0.05")} UNION ALL
+{_problem("hook", "segment", "'committed before the segment before was done'", "r WHERE segment >= 2 AND created <= first_ts + 0.05 AND created + 0.05 < end0")} UNION ALL
+{_problem("hook", "segment", "'consumed other blocks than its own'", "r WHERE segment >= 2 AND ids <> own")} UNION ALL
+{_problem("hook", "segment", "'re-used blocks of the base corpus'", "(SELECT DISTINCT segment FROM records WHERE segment >= 2 AND block_id IN (SELECT block_id FROM plan WHERE seq < 2))")}""")
 def check_hook_provenance(spark, sf):
+    """Faults of every kind: a segment that the log lacks, another writer, commits too early and too late, other blocks, blocks of the base corpus."""
     rows = stored(plan(spark, sf), "plan")
-    blocks = F.sort_array(F.collect_list(F.struct("pos", "block_id")))
-    created = F.when(F.col("seq") % 4 == 3, F.col("seq") * 10 - 6.9).otherwise(F.col("seq") * 10 - 0.5)
+    own = F.when((F.col("seq") % 5 == 4) & (F.col("pos") == 1), "zzz").otherwise(F.col("block_id")).alias("block_id")
+    blocks = F.sort_array(F.collect_list(F.struct("pos", own)))
+    created = F.when(F.col("seq") % 4 == 3, F.col("seq") * 10 - 6.9).when(F.col("seq") % 4 == 1, F.col("seq") * 10 + 0.5).otherwise(F.col("seq") * 10 - 0.5)
     writer = F.when(F.col("seq") % 6 == 5, F.lit("batch")).otherwise(F.lit("remine"))
     meta = F.create_map(F.lit("writer"), writer, F.lit("mined_after_segment"), (F.col("seq") - 1).cast("string"), F.lit("created_at"), created.cast("string"))
     segments = rows.where("seq <> 8").groupBy("seq").agg(blocks.alias("blocks")).withColumn("meta", meta)
-    return checks.hook_provenance(trail(rows, RANKS), segments, SEGMENT_BLOCKS, 2)
+    first = rows.where("position = 0").select(F.col("block_id").alias("first"))
+    wrong = (F.col("segment") % 7 == 6) & (F.col("position") % SEGMENT_BLOCKS == 0)
+    records = trail(rows, RANKS).join(F.broadcast(first), F.lit(True), "left").withColumn("block_id", F.when(wrong, F.col("first")).otherwise(F.col("block_id"))).drop("first")  # one row
+    return checks.hook_provenance(records, segments, SEGMENT_BLOCKS, 2)
 
 
 # ---- vectors ----
@@ -615,17 +643,31 @@ def _replicas(spark, sf) -> DataFrame:
 _REPLICAS = f"{_off('rank')}, p AS (SELECT rank, unnest([0, 1, 2]) AS dim, unnest([0.5 - 0.05 * g0, 0.1 - 0.05 * g1, 0.1 - 0.05 * g2]) AS value FROM g)"
 
 
+def _parameters(spark, sf) -> list:
+    """The ranks' parameters as the training loop holds them: one vector each."""
+    found = sorted((r["rank"], r["dim"], r["value"]) for r in _replicas(spark, sf).collect())  # a row a rank and weight
+    return [[np.array([v for rank, _, v in found if rank == k])] for k in sorted({r for r, _, _ in found})]
+
+
 @query(f"WITH {_REPLICAS} SELECT dim::INTEGER AS dim, round(avg(value), 6) AS value FROM p GROUP BY 1")
 def local_sgd_avg(spark, sf):
-    return _replicas(spark, sf).groupBy("dim").agg(F.round(F.avg("value"), 6).alias("value"))
+    mean = train.build_sync("local_sgd", [np.array(_WEIGHTS)]).agree(_parameters(spark, sf))[0]
+    return spark.createDataFrame([(i, round(float(v), 6)) for i, v in enumerate(mean)], "dim int, value double")
 
 
-@query(f"WITH {_REPLICAS} SELECT dim::INTEGER AS dim, round(a - 0.7 * (1.9 * (a - m)), 6) AS anchor, round(a - m, 6) AS velocity FROM (SELECT dim, [0.5, 0.1, 0.1][dim + 1]::DOUBLE AS a, avg(value) AS m FROM p GROUP BY dim)")
+@query(f"""WITH {_REPLICAS}, c AS (SELECT dim, [0.5, 0.1, 0.1][dim + 1]::DOUBLE AS a, avg(value) AS m FROM p GROUP BY dim), h AS (SELECT dim, a, a - m AS change FROM c),
+s AS (SELECT 1 AS step, dim, a - 0.7 * (1.9 * change) AS anchor, change AS velocity FROM h UNION ALL SELECT 2, dim, a - 0.7 * (1.9 * change) - 0.7 * (change + 0.9 * (1.9 * change)), 1.9 * change FROM h)
+SELECT step, dim::INTEGER AS dim, round(anchor, 6) AS anchor, round(velocity, 6) AS velocity FROM s""")
 def diloco_outer(spark, sf):
-    """The first outer step: the velocity is the mean change, the step looks ahead by the momentum."""
-    anchor = F.get(F.array(*[F.lit(w) for w in _WEIGHTS]), F.col("dim"))
-    rows = _replicas(spark, sf).groupBy("dim").agg(F.avg("value").alias("m")).withColumn("a", anchor).withColumn("g", F.col("a") - F.col("m"))
-    return rows.select("dim", F.round(F.col("a") - 0.7 * (F.col("g") + 0.9 * F.col("g")), 6).alias("anchor"), F.round("g", 6).alias("velocity"))
+    """Two outer steps with the same change of every replica, the state saved and restored between them."""
+    change = [[p - np.array(_WEIGHTS) for p in replica] for replica in _parameters(spark, sf)]
+    sync, rows = train.build_sync("diloco", [np.array(_WEIGHTS)], 0.7, 0.9), []
+    for step in (1, 2):
+        anchor = sync.agree([[a + c for a, c in zip(sync.anchor, replica)] for replica in change])
+        rows += [(step, i, round(float(a), 6), round(float(v), 6)) for i, (a, v) in enumerate(zip(anchor[0], sync.velocity[0]))]
+        state, sync = sync.state(), train.build_sync("diloco", [np.zeros(3)], 0.7, 0.9)
+        sync.restore(state)
+    return spark.createDataFrame(rows, "step int, dim int, anchor double, velocity double")
 
 
 # ---- streams and stores ----
@@ -684,3 +726,6 @@ def log_roundtrip(spark, sf):
     write_batch(log, sorted(refs, key=lambda r: r.block_id), tail="wrap", spark=spark)
     places = log.manifest(spark).groupBy("block_id").agg(F.min(F.struct("position", "seq", "pos")).alias("p")).select("block_id", "p.*")
     return read_blocks(spark, store, places).select("l_orderkey", "l_linenumber", "block_id")
+
+
+from . import catalog_store  # noqa: E402, F401  adds its queries

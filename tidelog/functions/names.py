@@ -36,6 +36,16 @@ def checkpoint_name_col(segment: Column, cursor: Column, world_size: Column, att
     return F.concat(F.lit("checkpoint_g"), pad(segment, 6), F.lit("_p"), pad(cursor * world_size, 6), F.lit("_n"), pad(world_size, 2), F.lit("_a"), pad(attempt, 2))
 
 
+#: What a producer prints for each commit (fixed value).
+COMMIT_LINE = r"committed segment (\d+)\b.*? at (\d+(?:\.\d+)?)"
+
+
+def commit_lines(lines: Column) -> tuple[Column, Column]:
+    """(segment, time) of a producer's line, null for others."""
+    number, when = (F.regexp_extract(lines, COMMIT_LINE, i) for i in (1, 2))
+    return F.when(number != "", number).cast("long"), F.when(when != "", when).cast("double")
+
+
 def valid_block_id(block_id: Column) -> Column:
     """Not empty, no slash, no leading dot."""
     return F.coalesce(block_id.rlike(r"^[^./][^/]*$"), F.lit(False))

@@ -252,6 +252,24 @@ def streaming(records: DataFrame, w: int, commits: DataFrame, least_gap: float,
     return union(*parts)
 
 
+def streaming_run(spark, log, run: str, commits: DataFrame, least_gap: float, segments: int, points, keep: int) -> DataFrame:
+    """All that a finished streaming run leaves in its store: trail, end of the log, and the window behind the newest checkpoint.
+
+    points: the run's Checkpoints. Files of blocks/ that aren't blocks are passed over.
+    """
+    from ..sources.audit import read_audit
+
+    parts = [streaming(read_audit(spark, log.store, run), log.W, commits, least_gap, segments)]
+    said = [] if log.ended() else [("streaming_run", None, "the producer did not end the log")]
+    last = max((x.segment for x in points.ledgers().values()), default=None)
+    if last is None:
+        said.append(("streaming_run", None, "no checkpoint with a ledger"))
+    else:
+        files = [(f"blocks/{name}",) for name in log.store.names("blocks") if name.endswith(".parquet")]
+        parts.append(retention(log.manifest(spark).select("seq", "locator"), spark.createDataFrame(files, "locator string"), last, keep))
+    return union(*parts, spark.createDataFrame(said, PROBLEM))
+
+
 def retention(kept: DataFrame, files: DataFrame, last_checkpoint: int, keep: int) -> DataFrame:
     """kept (seq, locator) and files (locator): the window starts where it should, has no hole, and holds exactly its blocks."""
     bounds = kept.agg(F.min("seq").alias("first"), F.max("seq").alias("last"), F.count_distinct("seq").alias("n"))

@@ -64,7 +64,7 @@ class RemineHook:
 
         ids, cluster, vectors = self.items
         per_segment = log.W * self.batch
-        if len(ids) % per_segment:
+        if not len(ids) or len(ids) % per_segment:
             raise ValueError(f"{len(ids)} items are no multiple of W * batch = {per_segment}")
         if log._next is not None and seq != log._next:
             raise ValueError(f"segment {seq} isn't the next one")
@@ -77,3 +77,38 @@ class RemineHook:
         out = training.join(anchors.select("item", name.alias("block_id")), "item")
         refs = sorted(tuple(r) for r in write_blocks(out.withColumnRenamed("item", "item_id"), log.store).collect())
         log.append([Ref(*r) for r in refs], 0, {"writer": "remine", **meta})
+
+
+def remine_args(hooks: dict[str, Any] | None, name: str = "remine") -> dict | None:
+    """The arguments of the configured re-mining hook; None if there is none."""
+    return next((args for n, _, args in hook_specs(hooks) if n == name), None)
+
+
+def initial_log(store, W: int, seed: int, hook: RemineHook, segments: int = 1):
+    """A new log whose first segments are mined in input space; the log goes on, as the hook adds the others."""
+    from ..sources.log import BlockLog
+
+    if segments < 1:
+        raise ValueError("a log begins with a segment at least")
+    log = BlockLog.create(store, W, seed, "remine")
+    for seq in range(segments):
+        hook.mine(log, seq, None, {"space": "input"})
+    return log
+
+
+def ensure_blocks(store, make) -> Any:
+    """The log of a store, made by make() if there is none: a second call changes nothing."""
+    from ..sources.log import BlockLog
+
+    return BlockLog.open(store) if store.exists("log/_meta.json") else make()
+
+
+def reset_run(store, run: str) -> int:
+    """Delete a run's trails and checkpoints, never its log and blocks; the number of files that went."""
+    if not run or "/" in run or run in ("log", "blocks", "probe"):
+        raise ValueError(f"{run!r} isn't the name of a run")
+    names = [f"audit/{run}/{n}" for n in store.names(f"audit/{run}")]
+    names += [f"{run}/{point}/{n}" for point in store.folders(run) for n in store.names(f"{run}/{point}")]
+    for name in names:
+        store.delete(name)
+    return len(names)

@@ -86,6 +86,24 @@ def info_nce(pairs: DataFrame, pool: DataFrame, temperature: float) -> DataFrame
     return top.select("block", (F.col("m") + F.log(total) - F.col("pos")).alias("loss")).groupBy("block").agg(F.avg("loss").alias("loss"), F.count("*").alias("anchors"))
 
 
+def nt_xent(views: DataFrame, temperature: float = 0.1) -> DataFrame:
+    """Mean symmetric loss of each block over two views (block, item, first, second): each direction's negatives are the other items' positives."""
+
+    def one_way(anchor: str, positive: str) -> DataFrame:
+        pairs = views.select("block", "item", F.col(anchor).alias("anchor"), F.col(positive).alias("positive"))
+        return info_nce(pairs, pairs.select("block", "item", F.col("positive").alias("candidate")), temperature)
+
+    both = one_way("first", "second").unionByName(one_way("second", "first"))
+    return both.groupBy("block").agg(F.avg("loss").alias("loss"), F.max("anchors").alias("anchors"))
+
+
+def seeded_subset(items: DataFrame, n: int, seed: int, item: str = "vec_id") -> DataFrame:
+    """n of the items by the order of a seeded digest, the same ones wherever it is asked."""
+    from ..functions.numbering import digest_key
+
+    return items.orderBy(digest_key(seed, F.col(item)), item).limit(n)
+
+
 def unit(items: DataFrame, vector: str) -> DataFrame:
     length = norm(doubles(vector))
     return items.withColumn(vector, F.when(length > 0, F.transform(doubles(vector), lambda x: x / length)).otherwise(doubles(vector)))

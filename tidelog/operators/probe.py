@@ -53,3 +53,38 @@ def accuracy(queries: DataFrame, bank: DataFrame, k: int, temperature: float, cl
         raise ValueError(f"a label is outside 0 to {classes - 1}")
     votes = vote(neighbours(queries, bank, k, **names), temperature)
     return votes.agg(F.count("*").alias("queries"), F.avg((F.col("query_label") == F.col("predicted")).cast("double")).alias("accuracy"))
+
+
+PROBE_FILE = "probe/test.parquet"
+
+
+def write_probe_split(rows: DataFrame, store) -> str:
+    """The held-out rows of a store, one file of bounded size by definition; its name."""
+    import io
+
+    import pyarrow.parquet as pq
+
+    out = io.BytesIO()
+    pq.write_table(rows.toArrow(), out)
+    store.write(PROBE_FILE, out.getvalue())
+    return PROBE_FILE
+
+
+def read_probe_split(spark, store, limit: int | None = None) -> DataFrame:
+    """The held-out rows, or the first ones of their file."""
+    if not store.exists(PROBE_FILE):
+        raise FileNotFoundError(f"no probe split at {store.uri}")
+    rows = spark.read.parquet(store.path(PROBE_FILE))
+    if limit is None:
+        return rows
+    return rows.select("*", F.col("_metadata.row_index").alias("_row")).orderBy("_row").limit(limit).drop("_row")
+
+
+def run_probe(spark, log, k: int = 20, temperature: float = 0.1, classes: int = 10, train_rows: int | None = 5000, test_rows: int | None = 2000, embed=None, **names) -> DataFrame:
+    """One row: queries, accuracy, chance, bank. The bank is the log's first rows, the queries are the store's held-out ones; embed maps either to vectors."""
+    embed = embed or (lambda df: df)
+    bank, held = embed(log.rows(spark, train_rows)), embed(read_probe_split(spark, log.store, test_rows))
+    if bank.isEmpty():
+        raise ValueError("the log has no rows for a bank")
+    found = accuracy(held, bank, k, temperature, classes, **names)
+    return found.withColumn("chance", F.lit(1.0 / classes)).withColumn("bank", F.lit(bank.count()))
