@@ -15,7 +15,11 @@ WORD = r"[^\x20\x09-\x0D]+"
 #: The characters that part words, for translate().
 SPACES = " \t\n\x0b\x0c\r"
 #: A side of a join is broadcast only if it has been counted and its rows, by the width of their columns, have at most this many bytes.
-BROADCAST_BYTES = 16_000_000
+BROADCAST_BYTES = 8_000_000
+
+
+#: Paths that scratch() gave and release() hasn't deleted.
+_made: list[str] = []
 
 
 def session_of(df: DataFrame) -> SparkSession:
@@ -23,12 +27,14 @@ def session_of(df: DataFrame) -> SparkSession:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or a folder of our own where it is unset."""
+    """The folder that all executors share: spark.checkpoint.dir, or a folder of our own where it is unset and the master is local."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
         found = spark.sparkContext._jsc.sc().getCheckpointDir()
         if found.isDefined():
             return found.get()
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         base = tempfile.mkdtemp(prefix="tidelog-")
         spark.sparkContext.setCheckpointDir(base)
         base = f"file://{base}"
@@ -37,7 +43,20 @@ def shared_dir(spark: SparkSession) -> str:
 
 def scratch(spark: SparkSession, name: str) -> str:
     """A new path in the shared folder; retried tasks and later jobs see what is written there."""
-    return f"{shared_dir(spark)}/tidelog/{name}-{uuid.uuid4().hex}"
+    _made.append(f"{shared_dir(spark)}/tidelog/{name}-{uuid.uuid4().hex}")
+    return _made[-1]
+
+
+def scratches() -> tuple[str, ...]:
+    return tuple(_made)
+
+
+def release(spark: SparkSession, keep: tuple[str, ...] = ()) -> None:
+    """Delete all scratch tables of this process but some, once no DataFrame that is still to be computed reads them."""
+    for path in _made:
+        if path not in keep:
+            drop_path(spark, path)
+    _made[:] = keep
 
 
 def staged(df: DataFrame, name: str) -> DataFrame:
@@ -99,13 +118,13 @@ def free_name(df: DataFrame, stem: str) -> str:
 
 
 def spread(df: DataFrame, most_bytes: int = 128_000_000, task_bytes: int = 4_000_000) -> DataFrame:
-    """df in a task a core where it is small, as one row group is one task whatever the cores; large inputs stay as they are split.
+    """df in a task a core where it is small and lies in fewer files than there are cores, as one row group is one task; others stay as they are split.
 
     Only the speed of work on whole texts depends on it.
     """
     n = session_of(df).sparkContext.defaultParallelism
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return df.repartition(n) if size <= min(most_bytes, n * task_bytes) else df
+    return df.repartition(n) if size <= min(most_bytes, n * task_bytes) and len(df.inputFiles()) < n else df
 
 
 def parallelism(spark: SparkSession) -> int:
