@@ -25,6 +25,11 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    older = common.scratches()  # of other queries, which may still be read
     for name, stage in STAGES:
-        docs = common.staged(stage(spark, docs, sf_dir), f"stage-{name.replace(' ', '-')}")
+        path = common.scratch(spark, f"stage-{name.replace(' ', '-')}")
+        found = stage(spark, docs, sf_dir)
+        found.write.option("compression", "zstd").parquet(path)
+        docs = spark.read.schema(found.schema).parquet(path)
+        common.release(spark, (*older, path))  # what the stage stored on its way, and the stage before
     return docs
