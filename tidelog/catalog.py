@@ -724,7 +724,7 @@ def log_roundtrip(spark, sf):
     refs = [Ref(*r) for r in write_blocks(rows, store).collect()]  # a small row a block
     log = BlockLog.create(store, SEGMENT_BLOCKS, SEED)
     write_batch(log, sorted(refs, key=lambda r: r.block_id), tail="wrap", spark=spark)
-    places = log.manifest(spark).groupBy("block_id").agg(F.min(F.struct("position", "seq", "pos")).alias("p")).select("block_id", "p.*")
+    places = log.manifest(spark).groupBy("block_id").agg(F.min(F.struct("position", "seq", "pos", "locator")).alias("p")).select("block_id", "p.*")
     return read_blocks(spark, store, places).select("l_orderkey", "l_linenumber", "block_id")
 
 
