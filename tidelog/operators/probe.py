@@ -6,40 +6,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from ..functions.vectors import dot, doubles
-
-#: A bank of at most this many rows is broadcast; a larger one is dealt in parts that answer with their own k nearest.
-BANK_ROWS = 50_000
-PARTS = 64
+from ..functions.nearest import BANK_ROWS, nearest, sided
 
 
 def neighbours(queries: DataFrame, bank: DataFrame, k: int, item: str = "vec_id", vector: str = "embedding", label: str = "label", bank_rows: int = BANK_ROWS, itself: bool = True) -> DataFrame:
-    """(query, item, label, sim, rank): the k nearest of the bank by dot product, ties by id; without itself, rows of the query's own id are left out.
+    """(query, query_label, item, label, sim, rank): the k nearest of the bank by dot product, ties by id; without itself, rows of the query's own id are left out.
 
-    Each pair is scored once, as the definition asks. With a small bank queries stay where they are; with a large one
-    every part of it scores all queries in turn and keeps k a query, so what is shuffled is k rows a query and part.
+    Each pair is scored once, as the definition asks, bank_rows of the bank at a time.
     """
-    q = queries.select(F.col(item).cast("long").alias("query"), F.col(label).cast("long").alias("query_label"), doubles(vector).alias("q"))
-    b = bank.select(F.col(item).cast("long").alias("item"), F.col(label).cast("long").alias("label"), doubles(vector).alias("b"))
-    few = b.limit(bank_rows + 1).count() <= bank_rows
-    if few:
-        pairs = q.join(F.broadcast(b), F.lit(True)).withColumn("part", F.lit(0))
-    else:
-        b = b.withColumn("part", F.pmod(F.xxhash64("item"), F.lit(PARTS)))
-        pairs = q.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(PARTS - 1).cast("long")))).join(b, "part")
-    if not itself:
-        pairs = pairs.where(F.col("item") != F.col("query"))
-    scored = pairs.select("query", "query_label", "part", "item", "label", dot(F.col("q"), F.col("b")).alias("sim"))
-    if not few:
-        inner = W.partitionBy("query", "part").orderBy(F.col("sim").desc(), "item")
-        scored = scored.withColumn("_r", F.row_number().over(inner)).where(F.col("_r") <= k).drop("_r")
-    order = W.partitionBy("query").orderBy(F.col("sim").desc(), "item")
-    return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).drop("part")
-
-
-def vote(nearest: DataFrame, temperature: float) -> DataFrame:
+    found = nearest(sided(queries, item, label, vector), sided(bank, item, label, vector), k, itself=itself, bank_rows=bank_rows)
+    return found.withColumnRenamed("score", "sim")
+
+
+def vote(found: DataFrame, temperature: float) -> DataFrame:
     """(query, query_label, predicted): the label with the greatest sum of exp(sim / temperature), ties to the least label."""
-    sums = nearest.groupBy("query", "query_label", "label").agg(F.sum(F.exp(F.col("sim") / temperature)).alias("weight"))
+    sums = found.groupBy("query", "query_label", "label").agg(F.sum(F.exp(F.col("sim") / temperature)).alias("weight"))
     order = W.partitionBy("query").orderBy(F.col("weight").desc(), "label")
     return sums.withColumn("_r", F.row_number().over(order)).where("_r = 1").select("query", "query_label", F.col("label").alias("predicted"))
 
