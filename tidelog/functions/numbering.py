@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-DIGITS = 2
+DIGITS = 3
 
 
 def digest_key(*parts) -> Column:
@@ -27,3 +27,18 @@ def digest_rank(df: DataFrame, within: list[str], key: Column, ties: list[str],
     inside = W.partitionBy(*within, "_range").orderBy("_key", *ties)
     out = df.join(starts, [*within, "_range"]).withColumn(name, (F.col("_start") + F.row_number().over(inside) - 1).cast("long"))
     return out.drop("_key", "_range", "_start")
+
+
+def digest_ring(df: DataFrame, within: list[str], item: str, key: Column) -> DataFrame:
+    """df with ``at``, ``size`` and ``next``: the item's place in the order of key among the rows that agree in ``within``, their number, and the item that
+    follows, the last one's being the first. Rows are numbered as in digest_rank; the last of a range is followed by the next range's first."""
+    df = df.withColumn("_key", key).withColumn("_range", F.substring("_key", 1, DIGITS))
+    ranges = df.groupBy(*within, "_range").agg(F.count("*").alias("_n"), F.min(F.struct("_key", item)).alias("_head"))
+    order = W.partitionBy(*within).orderBy("_range")
+    placed = ranges.select(
+        *within, "_range", (F.sum("_n").over(order) - F.col("_n")).alias("_start"), F.sum("_n").over(W.partitionBy(*within)).alias("size"),
+        F.coalesce(F.lead("_head").over(order), F.first("_head").over(order))[item].alias("_following"),
+    )
+    inside = W.partitionBy(*within, "_range").orderBy("_key", item)
+    out = df.join(placed, [*within, "_range"]).withColumn("at", (F.col("_start") + F.row_number().over(inside) - 1).cast("long"))
+    return out.withColumn("next", F.coalesce(F.lead(item).over(inside), F.col("_following"))).drop("_key", "_range", "_start", "_following")

@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from ..functions.numbering import digest_key
-from ..functions.vectors import dot, doubles, norm, squared_distance
+from ..functions.nearest import nearest, sided
+from ..functions.numbering import digest_key, digest_ring
+from ..functions.vectors import dot, doubles, norm
 
 #: Where the centroid of a cluster without items is put: far from all others.
 PARKED = 1e6
@@ -29,22 +30,16 @@ def centroid_vectors(items: DataFrame, cluster: str = "label", vector: str = "em
 
 
 def near_clusters(vectors: DataFrame, k: int) -> DataFrame:
-    """(cluster, j, near, distance): the k nearest other clusters, ties by number. A row for each cluster on both sides."""
-    other = vectors.select(F.col("cluster").alias("near"), F.col("centroid").alias("c2"))
-    pairs = vectors.join(F.broadcast(other), F.col("cluster") != F.col("near"))
-    ranked = pairs.withColumn("distance", F.sqrt(squared_distance(F.col("centroid"), F.col("c2"))))
-    order = W.partitionBy("cluster").orderBy("distance", "near")
-    return ranked.withColumn("j", F.row_number().over(order).cast("long") - 1).where(F.col("j") < k).select("cluster", "j", "near", "distance")
+    """(cluster, j, near, distance): the k nearest other clusters, ties by number."""
+    rows = sided(vectors, "cluster", F.lit(0), "centroid")
+    found = nearest(rows, rows, k, distance=True, itself=False)
+    return found.select(F.col("query").alias("cluster"), (F.col("rank").cast("long") - 1).alias("j"), F.col("item").alias("near"), F.col("score").alias("distance"))
 
 
 def _ring(items: DataFrame, seed: int, item: str, cluster: str) -> DataFrame:
-    """Items of each cluster on a hash-ordered ring: (cluster, item, at, next), and the ring's size."""
+    """Items of each cluster on a hash-ordered ring: (cluster, item, size, at, next). A large cluster is spread by ranges of the hash."""
     rows = items.select(F.col(cluster).cast("long").alias("cluster"), F.col(item).cast("long").alias("item"))
-    order = W.partitionBy("cluster").orderBy(digest_key(seed, F.col("item")), "item")
-    rows = rows.withColumn("at", F.row_number().over(order).cast("long") - 1).withColumn("next", F.lead("item").over(order))
-    first = rows.where("at = 0").select("cluster", F.col("item").alias("head"))
-    size = rows.groupBy("cluster").agg(F.count("*").alias("size"))
-    return rows.join(first, "cluster").join(size, "cluster").withColumn("next", F.coalesce("next", "head")).drop("head")
+    return digest_ring(rows, ["cluster"], "item", digest_key(seed, F.col("item")))
 
 
 def positives(items: DataFrame, seed: int, item: str = "vec_id", cluster: str = "label") -> DataFrame:
@@ -60,10 +55,11 @@ def negatives(items: DataFrame, near: DataFrame, seed: int, item: str = "vec_id"
     picks = ring.select("cluster", "item", "at").join(near.select("cluster", "j", "near"), "cluster").join(sizes, "near", "left")
     picks = picks.withColumn("m_at", F.col("at") % F.col("size"))
     found = picks.join(members.drop("size"), ["near", "m_at"], "left")
-    least = ring.groupBy("cluster").agg(F.min("item").alias("low"))
-    spare = least.select(F.col("cluster").alias("c2"), "low")
-    other = least.select("cluster").join(F.broadcast(spare), F.col("cluster") != F.col("c2"), "left").groupBy("cluster").agg(F.min("low").alias("spare"))
-    return found.join(other, "cluster", "left").select("item", "j", F.coalesce("negative", "spare", "item").alias("negative"))
+    least = ring.groupBy("cluster").agg(F.min("item").alias("low")).orderBy("low", "cluster").limit(2)  # the least item outside a cluster is one of these two
+    two = least.agg(F.sort_array(F.collect_list(F.struct("low", "cluster"))).alias("two"))
+    head, second = F.get("two", F.lit(0)), F.get("two", F.lit(1))
+    spare = F.when(head["cluster"] != F.col("cluster"), head["low"]).otherwise(second["low"])
+    return found.join(F.broadcast(two), F.lit(True)).select("item", "j", F.coalesce("negative", spare, "item").alias("negative"))  # one row is broadcast
 
 
 def training_rows(items: DataFrame, near: DataFrame, k: int, seed: int, item: str = "vec_id", cluster: str = "label", vector: str = "embedding") -> DataFrame:
@@ -99,8 +95,6 @@ def nt_xent(views: DataFrame, temperature: float = 0.1) -> DataFrame:
 
 def seeded_subset(items: DataFrame, n: int, seed: int, item: str = "vec_id") -> DataFrame:
     """n of the items by the order of a seeded digest, the same ones wherever it is asked."""
-    from ..functions.numbering import digest_key
-
     return items.orderBy(digest_key(seed, F.col(item)), item).limit(n)
 
 
