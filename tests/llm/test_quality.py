@@ -108,3 +108,16 @@ def test_op7_is_the_operator_on_the_whole_table(spark):
     assert len(got) == len(texts)
     for r in got:
         assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed) == base(texts[r.doc_id]) and not (r.base_failed and r.kept)
+
+
+def test_notices_are_the_phrases():
+    """The grouped pattern finds what its phrases find one by one, in any case, at a word's start only."""
+    grouped = re.compile(line_quality.notices(line_quality.BOILERPLATE))
+    plain = [re.compile(r"(?i)\b" + p) for p in line_quality.BOILERPLATE]
+    said = ["cookies akzeptieren", "Alle Cookies akzeptieren", "xcookies akzeptieren", "INSCRIVEZ-VOUS À notre newsletter", "términos de uso", "Condiciones de servicio", "usamos cookies",
+            "ir al contenido", "partir al contenido", "activar javascript", "Privacy Policy", "privacy policyholder", "a clean sentence, all right", "lorem ipsum dolor", "datenschutzerklärung", ""]
+    said += [re.sub(r"\(\?:|\)\??|\\b|\|.*", "", re.sub(r"\[(.).\]", r"\1", p)) for p in line_quality.BOILERPLATE]
+    assert all(p[0].isascii() and p[0].isalpha() for p in line_quality.BOILERPLATE)
+    for text in said:
+        assert bool(grouped.search(text)) == any(p.search(text) for p in plain), text
+    assert [bool(grouped.search(t)) for t in said[:16]] == [True, True, False, True, True, True, True, True, False, True, True, False, False, True, True, False]

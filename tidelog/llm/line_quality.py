@@ -24,23 +24,31 @@ SYMBOLS = "#*$%&|<>"
 WINDOW = 5
 
 
-#: Phrases of site notices in four languages, after a word's start and without regard to ASCII case (fixed values).
+#: Phrases of site notices in four languages, after a word's start and without regard to ASCII case; each begins with a plain letter (fixed values).
 BOILERPLATE = (
     r"all rights reserved\b", r"terms of (?:use|service)\b", r"privacy policy\b", r"cookie policy\b", r"use of cookies\b", r"we use cookies\b", r"accept (?:all )?cookies\b",
     r"sign up for our newsletter\b", r"subscribe to our newsletter\b", r"click here to\b", r"skip to (?:main )?content\b", r"share (?:this )?on (?:facebook|twitter)\b",
     r"enable javascript\b", r"javascript is (?:disabled|required)\b", r"lorem ipsum\b",
     r"alle rechte vorbehalten\b", r"nutzungsbedingungen\b", r"allgemeine gesch[äÄ]ftsbedingungen\b", r"datenschutzerkl[äÄ]rung\b", r"cookie-richtlinie\b", r"wir verwenden cookies\b",
-    r"(?:alle )?cookies akzeptieren\b", r"newsletter abonnieren\b", r"abonnieren sie unseren newsletter\b", r"klicken sie hier\b", r"zum (?:haupt)?inhalt springen\b",
+    r"cookies akzeptieren\b", r"newsletter abonnieren\b", r"abonnieren sie unseren newsletter\b", r"klicken sie hier\b", r"zum (?:haupt)?inhalt springen\b",
     r"auf (?:facebook|twitter) teilen\b", r"javascript (?:ist deaktiviert|aktivieren)\b",
     r"tous droits r[éÉ]serv[éÉ]s\b", r"conditions (?:g[éÉ]n[éÉ]rales )?d[’']utilisation\b", r"politique de confidentialit[éÉ]", r"politique (?:en mati[èÈ]re )?de cookies\b",
-    r"nous utilisons des cookies\b", r"accepter (?:tous )?les cookies\b", r"(?:abonnez-vous|inscrivez-vous) [àÀ] notre newsletter\b", r"cliquez ici\b",
+    r"nous utilisons des cookies\b", r"accepter (?:tous )?les cookies\b", r"abonnez-vous [àÀ] notre newsletter\b", r"inscrivez-vous [àÀ] notre newsletter\b", r"cliquez ici\b",
     r"aller au contenu\b", r"partager sur (?:facebook|twitter)\b", r"activer javascript\b",
-    r"todos los derechos reservados\b", r"(?:t[éÉ]rminos|condiciones) de (?:uso|servicio)\b", r"pol[íÍ]tica de (?:privacidad|cookies)\b", r"(?:utilizamos|usamos) cookies\b",
-    r"aceptar (?:todas )?las cookies\b", r"suscr[íÍ]b(?:ase|ete) a nuestro bolet[íÍ]n\b", r"haga clic aqu[íÍ]", r"(?:saltar|ir) al contenido\b", r"compartir en (?:facebook|twitter)\b",
-    r"(?:habilitar|activar) javascript\b",
+    r"todos los derechos reservados\b", r"t[éÉ]rminos de (?:uso|servicio)\b", r"condiciones de (?:uso|servicio)\b", r"pol[íÍ]tica de (?:privacidad|cookies)\b", r"utilizamos cookies\b", r"usamos cookies\b",
+    r"aceptar (?:todas )?las cookies\b", r"suscr[íÍ]b(?:ase|ete) a nuestro bolet[íÍ]n\b", r"haga clic aqu[íÍ]", r"saltar al contenido\b", r"ir al contenido\b", r"compartir en (?:facebook|twitter)\b",
+    r"habilitar javascript\b", r"activar javascript\b",
 )
 
 
+def notices(phrases: tuple[str, ...]) -> str:
+    """One pattern for phrases that begin with a letter. They are grouped by it, so that at a word's start a letter is tried once and not once a phrase."""
+    rests: dict[str, list[str]] = {}
+    for phrase in phrases:
+        rests.setdefault(phrase[0], []).append(phrase[1:])
+    return r"(?i)\b(?:" + "|".join(f"{first}(?:{'|'.join(rest)})" for first, rest in rests.items()) + ")"
+
+
 @dataclass(frozen=True)
 class Rules:
     """Limits of the line and document rules."""
@@ -54,7 +62,7 @@ class Rules:
     unpunctuated_words: int = 12
     navigation_marks: str = "|»›•>"
     min_navigation_marks: int = 3
-    boilerplate: str = r"(?i)\b(?:" + "|".join(BOILERPLATE) + ")"
+    boilerplate: str = notices(BOILERPLATE)
     sentence_end: str = r"[.!?…:;][\"')\]»”’]*(?:[\x20\x09-\x0D]|\z)|[。！？]"
     goes_on: str = r"^[\x20\x09-\x0D]*[a-zà-öø-ÿ]"  # the first letter of a line that continues the one before
 
