@@ -121,3 +121,12 @@ def test_notices_are_the_phrases():
     for text in said:
         assert bool(grouped.search(text)) == any(p.search(text) for p in plain), text
     assert [bool(grouped.search(t)) for t in said[:16]] == [True, True, False, True, True, True, True, True, False, True, True, False, False, True, True, False]
+
+
+def test_the_stage_judges_lines_once(spark):
+    """The filter on the outcome isn't computed from the text again."""
+    df = line_quality.stage(spark, spark.createDataFrame([(1, "a b c")], "doc_id long, text string"), "")
+    spark.conf.set("spark.sql.debug.maxToStringFields", "1000")
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    spark.conf.unset("spark.sql.debug.maxToStringFields")
+    assert plan.count("orem ipsum") == 1

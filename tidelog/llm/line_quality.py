@@ -149,7 +149,9 @@ def clean(docs: DataFrame, text: str = "text", rules: Rules = Rules()) -> DataFr
         F.when(untouched, r["counts"]["n_words"]).otherwise(F.regexp_count(r["lines"]["clean_text"], F.lit(WORD)).cast("long")).alias("left_words"),
         r["lines"]["removed_lines"].alias("removed_lines"),
     )
-    df = docs.withColumn(raw, F.struct(counts.alias("counts"), line_facts(body, rules).alias("lines"))).withColumn(out, whole).drop(raw)
+    # a row of its own for each: a filter on the outcome isn't pushed below it, which would compute the facts again for each of its fields
+    facts = F.explode(F.array(F.struct(counts.alias("counts"), line_facts(body, rules).alias("lines"))))
+    df = docs.withColumn(raw, facts).withColumn(out, whole).drop(raw)
     base = (f["n_words"] < rules.min_words) | (100 * f["n_repeat_words"] > rules.max_repeat_percent * f["n_words"])
     loss = F.when(f["word_chars"] > 0, 1 - f["left_chars"] / f["word_chars"]).otherwise(F.lit(0.0))
     kept = ~base & (loss <= rules.max_loss) & (f["left_words"] >= rules.min_left_words)
