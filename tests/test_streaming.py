@@ -1,10 +1,12 @@
 import threading
 
 import pytest
+from pyspark.errors import StreamingQueryException
 
+from tidelog.sources.datasource import ManifestStream
 from tidelog.sources.log import BlockLog, Ref
 from tidelog.sources.storage import Store
-from tidelog.streaming.consume import drain
+from tidelog.streaming.consume import consume_committed, drain, stretches
 from tidelog.streaming.produce import produce
 from tidelog.streaming.writer import Mixer, StreamingWriter, segments_of
 
@@ -85,3 +87,66 @@ def test_live_producer_and_consumer_with_retention(spark, tmp_path):
     assert BlockLog.open(store).seqs() == [2, 3, 4]
     with pytest.raises(FileExistsError):
         produce(store, 1)
+
+
+def a_log(path, n, w=2):
+    log = BlockLog.create(Store.at(str(path)), w, 7)
+    for low in range(0, n * w, w):
+        log.append(refs(low + w, low))
+    log.end()
+    return log
+
+
+def test_a_bounded_trigger_asks_for_its_own_segments_only(tmp_path, monkeypatch):
+    log = a_log(tmp_path, 7)
+    stream = ManifestStream(log.store.uri, 2, 0, 5)
+    assert stream.latestOffset() == {"seq": 2}
+    monkeypatch.setattr(BlockLog, "seqs", lambda self: pytest.fail("the log was listed"))
+    assert [stream.latestOffset()["seq"] for _ in range(3)] == [4, 5, 5]
+    parts = stream.partitions({"seq": 0}, {"seq": 150})
+    assert [s for p in parts for s in p.seqs] == list(range(150)) and len(parts) == 3
+
+
+def test_an_end_bounds_a_stream_without_batch_size_and_gaps_stop_it(tmp_path):
+    log = a_log(tmp_path, 7)
+    assert ManifestStream(log.store.uri, None, None).latestOffset() == {"seq": 7}
+    assert ManifestStream(log.store.uri, None, 2, 6).latestOffset() == {"seq": 6}
+    log.store.delete("log/00000003.json")
+    assert ManifestStream(log.store.uri, None, 0, 6).latestOffset() == {"seq": 3}
+    assert ManifestStream(log.store.uri, 2, 2).latestOffset() == {"seq": 3}
+
+
+def test_stretches_are_whole_triggers_and_leave_nothing_out():
+    for first in (0, 5):
+        for n in (1, 2, 15, 31, 32, 33, 64, 125, 200, 7501):
+            for per in (1, 2, 3):
+                found = stretches(first, first + n, per, 6)
+                assert [s for low, high in found for s in range(low, high)] == list(range(first, first + n)) and len(found) <= 6
+                assert all((high - low) % per == 0 for low, high in found[:-1])
+    assert stretches(0, 12, 2, 6) == [(0, 12)] and len(stretches(0, 7500, 2, 6)) == 6
+
+
+def test_a_long_log_is_read_by_several_streams(spark, tmp_path):
+    log, seen = a_log(tmp_path / "s", 67), {}
+    checkpoint = f"file://{tmp_path}/c"
+    consume_committed(spark, log, 2, lambda rows, k: seen.setdefault(k, []).append(sorted({r.seq for r in rows.collect()})), checkpoint=checkpoint)
+    assert len(seen) == 2
+    assert [found for k in sorted(seen) for found in seen[k]] == [[s for s in (low, low + 1) if s < 67] for low in range(0, 67, 2)]
+    assert spark.conf.get("spark.sql.streaming.checkpointFileManagerClass", None) is None
+    assert len(list((tmp_path / "c" / "000" / "offsets").glob("[0-9]*"))) == len(seen[0])
+    seen.clear()
+    log.store.delete("log/00000003.json")  # what is behind a gap isn't read, in whatever stretch it would be
+    consume_committed(spark, log, 2, lambda rows, k: seen.setdefault(k, []).append(sorted({r.seq for r in rows.collect()})), checkpoint=f"file://{tmp_path}/d")
+    assert seen == {0: [[0, 1], [2]]}
+
+
+def test_an_error_of_one_stretch_ends_all(spark, tmp_path):
+    log = a_log(tmp_path / "s", 67)
+
+    def fail(rows, k):
+        if k == 1:
+            raise ValueError("no")
+
+    with pytest.raises(StreamingQueryException):
+        consume_committed(spark, log, 2, fail, checkpoint=f"file://{tmp_path}/c")
+    assert not spark.streams.active

@@ -6,6 +6,7 @@
 from __future__ import annotations
 
 import io
+from collections import Counter, defaultdict
 
 import numpy as np
 import pyarrow as pa
@@ -149,24 +150,23 @@ def user_function(spark, sf):
 
 @query(f"WITH {_SORTED} SELECT seq, k AS rank, 4 AS n, (seq + 2) // 2 AS batches FROM (SELECT DISTINCT seq FROM kept), (SELECT unnest(range(3)) AS k)")
 def consumed_segments(spark, sf):
-    """A log read as a stream, two segments a trigger, dealt to ranks; how many triggers there were when each segment came."""
-    from .streaming.consume import segment_stream
+    """A log read as a stream, two segments a trigger, dealt to ranks; how many triggers there were when each segment came.
 
-    log, seen, batches = sorted_log(spark, sf), [], [0]
+    A long log is read by several streams; the triggers of the stretches before count for a segment, as they were seen.
+    """
+    from .streaming.consume import consume_committed
 
-    def batch(rows: DataFrame, _: int) -> None:
-        found = [r["seq"] for r in rows.select("seq").distinct().collect()]
+    log, seen = sorted_log(spark, sf), defaultdict(list)
+
+    def batch(rows: DataFrame, stretch: int) -> None:
+        found = Counter((r[0], r[1]) for r in rows.select("seq", (F.col("pos") % RANKS).alias("rank")).collect())  # two segments
         if found:
-            batches[0] += 1
-        seen.extend((seq, rank, n, batches[0]) for seq in found for rank, n in [(r["rank"], r["count"]) for r in rows.where(F.col("seq") == seq).groupBy((F.col("pos") % RANKS).alias("rank")).count().collect()])
-
-    stream = segment_stream(spark, log, per_batch=2).writeStream.foreachBatch(batch).option("checkpointLocation", shared_folder(spark, "offsets"))
-    at_end = stream.trigger(processingTime="0 seconds").start()
-    wanted = len(log.seqs())
-    while len({s[0] for s in seen}) < wanted and at_end.exception() is None:
-        at_end.awaitTermination(0.2)
-    at_end.stop()
-    return spark.createDataFrame(seen, "seq long, rank long, n long, batches long")
+            seen[stretch].append(found)
+
+    consume_committed(spark, log, 2, batch, checkpoint=shared_folder(spark, "offsets"))
+    triggers = (found for stretch in sorted(seen) for found in seen[stretch])
+    rows = [(seq, rank, n, batches) for batches, found in enumerate(triggers, 1) for (seq, rank), n in found.items()]
+    return spark.createDataFrame(rows, "seq long, rank long, n long, batches long")
 
 
 @query(f"WITH {_SORTED}, l AS (SELECT max(seq) AS last FROM kept) SELECT DISTINCT seq, seq AS consumed FROM kept, l WHERE seq >= last - 2")

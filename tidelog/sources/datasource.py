@@ -1,7 +1,7 @@
 """Python data source ``tidelog``: a log's manifest as a batch table, a stream of segments, and a sink of segments.
 
 Stream offsets are segment numbers, each the first that has not been read. A batch holds at most ``segmentsPerBatch`` segments in order, or all committed ones
-if that isn't set, as a bounded catch-up, and a restart from a checkpoint, want.
+if that isn't set, as a bounded catch-up, and a restart from a checkpoint, want. A stream ends before ``endSegment``, if that is set.
 """
 
 from __future__ import annotations
@@ -17,6 +17,10 @@ from .log import BlockLog, Ref
 from .storage import Store
 
 
+#: Segments that one task reads: a task costs more than a small file.
+PER_TASK = 64
+
+
 class Segments(InputPartition):
     def __init__(self, seqs: list[int]):
         super().__init__(seqs)
@@ -51,15 +55,15 @@ class ManifestReader(DataSourceReader):
 
     def partitions(self):
         seqs = [s for s in BlockLog.open(Store.at(self.path)).seqs() if (self.low is None or s >= self.low) and (self.high is None or s <= self.high)]
-        return [Segments(seqs[i : i + 64]) for i in range(0, len(seqs), 64)] or [Segments([])]
+        return [Segments(seqs[i : i + PER_TASK]) for i in range(0, len(seqs), PER_TASK)] or [Segments([])]
 
     def read(self, partition):
         yield from _rows(self.path, partition.seqs)
 
 
 class ManifestStream(DataSourceStreamReader):
-    def __init__(self, path: str, per_batch: int | None, start: int | None):
-        self.path, self.per_batch, self.start, self.at = path, per_batch, start, None
+    def __init__(self, path: str, per_batch: int | None, start: int | None, end: int | None = None):
+        self.path, self.per_batch, self.start, self.end, self.at = path, per_batch, start, end, None
 
     def initialOffset(self):
         """The first segment asked for that the log still has."""
@@ -68,14 +72,17 @@ class ManifestStream(DataSourceStreamReader):
     def latestOffset(self):
         if self.at is None:
             self.at = self.initialOffset()["seq"]
-        seqs, end = set(BlockLog.open(Store.at(self.path)).seqs()), self.at
-        while end in seqs and (self.per_batch is None or end < self.at + self.per_batch):
+        log, end = BlockLog.open(Store.at(self.path)), self.at
+        # a bounded batch asks for its own segments only: a listing of the log at each trigger grows as its square
+        committed = set(log.seqs()).__contains__ if self.per_batch is None else log.has_segment
+        most = min((x for x in (self.end, None if self.per_batch is None else self.at + self.per_batch) if x is not None), default=None)
+        while (most is None or end < most) and committed(end):
             end += 1  # up to the first gap
         self.at = end
         return {"seq": end}
 
     def partitions(self, start, end):
-        return [Segments([s]) for s in range(start["seq"], end["seq"])]
+        return [Segments(list(range(s, min(s + PER_TASK, end["seq"])))) for s in range(start["seq"], end["seq"], PER_TASK)]
 
     def read(self, partition):
         return _rows(self.path, partition.seqs)
@@ -129,8 +136,8 @@ class TidelogSource(DataSource):
 
     def streamReader(self, schema):
         per = self.options.get("segmentsPerBatch")
-        start = self.options.get("startSegment")
-        return ManifestStream(self.options["path"], int(per) if per else None, int(start) if start else None)
+        start, end = self.options.get("startSegment"), self.options.get("endSegment")
+        return ManifestStream(self.options["path"], int(per) if per else None, int(start) if start else None, int(end) if end else None)
 
     def writer(self, schema, overwrite):
         return SegmentWriter(self.options["path"], int(self.options.get("pass", 0)))

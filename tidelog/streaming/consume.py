@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,17 +14,71 @@ from ..sources.datasource import register
 from ..sources.log import BlockLog
 
 
-def segment_stream(spark: SparkSession, log: BlockLog, start: int | None = None, per_batch: int | None = None) -> DataFrame:
-    """The log's manifest as a stream: rows of committed segments in order, up to the first gap."""
+def segment_stream(spark: SparkSession, log: BlockLog, start: int | None = None, per_batch: int | None = None, end: int | None = None) -> DataFrame:
+    """The log's manifest as a stream: rows of committed segments in order, up to the first gap, or to the segment before end."""
     register(spark)
     reader = spark.readStream.format("tidelog").option("path", log.store.uri)
     if start is not None:
         reader = reader.option("startSegment", start)
     if per_batch is not None:
         reader = reader.option("segmentsPerBatch", per_batch)
+    if end is not None:
+        reader = reader.option("endSegment", end)
     return reader.load()
 
 
+def stretches(first: int, end: int, per_batch: int, most: int, triggers: int = 16) -> list[tuple[int, int]]:
+    """Segments first to end - 1 in at most `most` runs of whole triggers, of about `triggers` triggers or more each: (first, end) of each run."""
+    n = -(-(end - first) // per_batch)
+    runs = max(1, min(most, n // triggers))
+    cuts = [min(end, first + n * k // runs * per_batch) for k in range(runs + 1)]
+    return [(low, high) for low, high in zip(cuts, cuts[1:]) if low < high]
+
+
+_FILES = "spark.sql.streaming.checkpointFileManagerClass"
+
+
+@contextmanager
+def plain_checkpoints(spark: SparkSession, checkpoint: str) -> Iterator[None]:
+    """Streams started within write the files of a local checkpoint by FileSystem instead of FileContext, which starts processes for each of them.
+
+    What FileContext adds is that two writers of one checkpoint notice each other: this is for checkpoints that are a stream's own.
+    """
+    before = spark.conf.get(_FILES, None)
+    if before is not None or not checkpoint.startswith(("file:", "/")):
+        yield
+        return
+    spark.conf.set(_FILES, "org.apache.spark.sql.execution.streaming.checkpointing.FileSystemBasedCheckpointFileManager")
+    try:
+        yield
+    finally:
+        spark.conf.unset(_FILES)
+
+
+def consume_committed(spark: SparkSession, log: BlockLog, per_batch: int, on_batch: Callable[[DataFrame, int], None], *, checkpoint: str, streams: int = 6) -> None:
+    """Read the committed segments up to the first gap, per_batch a trigger, by several streams at once; on_batch(rows, stretch) is called at least once for each trigger.
+
+    A trigger costs about the same whatever it holds (its offsets and its commit are files, one after the other), so a long log is cut into stretches,
+    each a stream with a checkpoint of its own. Triggers of a stretch come in order, those of different stretches don't.
+    """
+    seqs = log.seqs()
+    if not seqs:
+        return
+    first, started = seqs[0], []
+    end = first + next((i for i, seq in enumerate(seqs) if seq != first + i), len(seqs))
+    try:
+        with plain_checkpoints(spark, checkpoint):
+            for k, (low, high) in enumerate(stretches(first, end, per_batch, streams)):
+                stream = segment_stream(spark, log, low, per_batch, high).writeStream.foreachBatch(lambda rows, _, k=k: on_batch(rows, k))
+                started.append(stream.option("checkpointLocation", f"{checkpoint}/{k:03d}").trigger(processingTime="0 seconds").start())
+        for query in started:
+            query.processAllAvailable()
+            query.stop()
+    finally:
+        for query in started:
+            query.stop()
+
+
 def consume(spark: SparkSession, log: BlockLog, n: int, on_segment: Callable[[DataFrame, int], None], *, checkpoint: str, start: int = 0, hooks=(), context=None, retention: int | None = None, available_now: bool = True):
     """Deal each segment to n ranks and hand it to on_segment(rows, seq), in order and at least once.
 
